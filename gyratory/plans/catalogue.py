@@ -1,4 +1,4 @@
 """Everything registered, in one place."""
 
-from gyratory.plans import q_windows  # noqa: F401
+from gyratory.plans import q_windows, q_labels  # noqa: F401
 from gyratory.plans.registry import ORACLES, QUERIES  # noqa: F401
