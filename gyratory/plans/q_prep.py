@@ -15,6 +15,7 @@ from gyratory.plans import sql_tables as S
 from gyratory.plans.q_labels import WIDTH, fused, windows
 from gyratory.plans.q_windows import day_features
 from gyratory.plans.registry import query
+from gyratory.session import materialise
 
 TIME_COLS = ["day_week", "hour", "minute", "is_weekend", "is_rush_hour"]
 FEATURES = ["signaling", *TIME_COLS]
@@ -51,8 +52,7 @@ def b_parse(spark, sf):
 
 
 S.TABLES["t_codes"] = """
-SELECT signaling, CAST(row_number() OVER (ORDER BY min(side), min(label_id) FILTER (WHERE side = (SELECT 0)) NULLS LAST,
-       min(label_id)) - 1 AS INTEGER) AS code
+SELECT signaling, CAST(row_number() OVER (ORDER BY min((side, label_id))) - 1 AS INTEGER) AS code
 FROM (SELECT signaling, label_id, CASE WHEN cycle_phase = 'train' THEN 0 ELSE 1 END AS side FROM t_ratings)
 WHERE signaling IS NOT NULL GROUP BY signaling"""
 
@@ -202,7 +202,7 @@ SELECT ID, cycle_phase, historical_congestion, CAST(CASE WHEN code = -1 THEN (
   ELSE code END AS INTEGER) AS historical_congestion_encoded FROM t_history_codes""")
 def g10(spark, sf):
     known = I.ratings(spark, sf).filter("cycle_phase <> 'test_output_5'")
-    shifted = P.shift_features(full_long(spark, sf), FEATURES)
+    shifted = materialise(P.shift_features(full_long(spark, sf), FEATURES).select("ID", "cycle_phase"))
     out = P.add_historical_state(shifted, P.historical_state(known))
     return out.select("ID", "cycle_phase", "historical_congestion", "historical_congestion_encoded")
 
@@ -261,7 +261,7 @@ def g11(spark, sf):
 SELECT sequence_id, end_timestamp, CASE WHEN row_number() OVER (ORDER BY end_timestamp, sequence_id)
        <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM t_seq""")
 def g12(spark, sf):
-    return Q.temporal_split(seq(spark, sf).select("sequence_id", "end_timestamp"))
+    return Q.temporal_split(materialise(seq(spark, sf).select("sequence_id", "end_timestamp")))
 
 
 _EMB = ["total_entry_count", "avg_circulating_occupancy"]
@@ -373,7 +373,7 @@ FROM t_cells GROUP BY feature"""
 @query("g20_zscore", """
 SELECT sequence_id, step, feature, R(coalesce((value - mean) / std, 0e0)) AS value FROM t_cells JOIN t_fit USING (feature)""")
 def g20(spark, sf):
-    cells = Q.sequence_cells(seq(spark, sf), SEQ)
+    cells = Q.sequence_cells(materialise(seq(spark, sf).select("sequence_id", "x")), SEQ)
     return P.zscore_apply(cells, P.zscore_fit(cells))
 
 
@@ -381,7 +381,7 @@ def g20(spark, sf):
 SELECT sequence_id, step, feature, R((coalesce(value, m) - mean) / std) AS value FROM t_cells JOIN t_fit USING (feature)
 JOIN (SELECT feature, avg(value) AS m FROM t_cells GROUP BY feature) USING (feature)""")
 def g21(spark, sf):
-    cells = Q.sequence_cells(seq(spark, sf), SEQ)
+    cells = Q.sequence_cells(materialise(seq(spark, sf).select("sequence_id", "x")), SEQ)
     return P.mean_impute_scale(cells, P.zscore_fit(cells))
 
 
