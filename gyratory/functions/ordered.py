@@ -224,8 +224,12 @@ def chronological_position(
     )
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the table small; otherwise the planner decides."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
+def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A small table ready for broadcast, but only when it proves small; otherwise it is returned as it is.
+
+    The table is computed once: at most max_rows + 1 rows come to the driver, as they would for a broadcast.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return df

@@ -75,7 +75,7 @@ def add_time_features(df: DataFrame, col: str = "video_time") -> DataFrame:
             "hour": F.hour(ts),
             "Date": F.to_date(ts),
             "minute": F.minute(ts),
-            "is_weekend": (day >= 5).cast("int"),
+            "is_weekend": F.coalesce((day >= 5).cast("int"), F.lit(0)),
             "is_rush_hour": F.coalesce(is_rush_hour(F.hour(ts)), F.lit(0)),
         }
     )
@@ -144,6 +144,7 @@ def encode_by_first_appearance(
         seen.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct("_side", "_at")).alias("_first")),
         "_first",
     )
+    codes = checked_broadcast(codes)
     return tuple(_with_code(df, codes, column) for df in (train, test))
 
 
@@ -167,7 +168,7 @@ def _numbered(values: DataFrame, order: str) -> DataFrame:
 
 def _with_code(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
     return (
-        df.join(checked_broadcast(codes), column, "left")
+        df.join(codes, column, "left")
         .withColumn(column, F.coalesce("_code", F.lit(MISSING)))
         .drop("_code")
     )

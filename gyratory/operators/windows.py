@@ -16,6 +16,7 @@ from gyratory.constants import (
 )
 from gyratory.functions import ordered
 from gyratory.functions.scalars import safe_ratio, window_time_features
+from gyratory.session import materialise
 
 VIDEO = ["video_ts", "camera_id"]
 KEY = [*VIDEO, "window_idx"]
@@ -27,14 +28,18 @@ def window_of(t: Column | str, w: float) -> Column:
 
 
 def window_spine(vehicles: DataFrame, w: float = WINDOW_SECONDS) -> DataFrame:
-    """Every window of every video up to the last sighting, empty ones included."""
+    """Every window of every video up to the last sighting, empty ones included.
+
+    `vehicles` is any table of sightings with `last_seen_time`.
+    """
     n = vehicles.groupBy(*VIDEO).agg(F.ceil(F.max("last_seen_time") / w).cast("int").alias("_n"))
     idx = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    spine = n.filter(F.col("_n") > 0).select(*VIDEO, idx.alias("window_idx"))
+    return n.filter(F.col("_n") > 0).select(*VIDEO, idx.alias("window_idx")).withColumns(_span(w))
+
+
+def _span(w: float) -> dict[str, Column]:
     start = F.col("window_idx") * F.lit(float(w))
-    return spine.withColumns(
-        {"start_time": start, "end_time": start + float(w), "window_duration": F.lit(float(w))}
-    )
+    return {"start_time": start, "end_time": start + float(w), "window_duration": F.lit(float(w))}
 
 
 def _entered(zones: list[str], class_name: str | None = None) -> Column:
@@ -58,23 +63,33 @@ def _flow_aggs(which: list[str]) -> list[Column]:
 _FLOW_COUNT = {"entry": "entry_count", "exit": "exit_count", "circulating": "circulating_flow_count"}
 
 
-def flows(
-    events: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS,
-    which: tuple[str, ...] = ("entry", "exit", "circulating"),
-) -> DataFrame:
-    """Zone entries per window, by class, and per minute; one scan and one aggregation."""
+def _flow_counts(events: DataFrame, w: float, which: tuple[str, ...]) -> DataFrame:
+    """Counts of the windows that have any entry; one scan and one aggregation."""
     zones = [z for name, zs in (("entry", [ENTER]), ("exit", [EXIT]), ("circulating", CIRCULATING))
              if name in which for z in zs]
-    counted = (
+    return (
         events.filter((F.col("event_type") == "enter") & F.col("zone_name").isin(*zones))
         .groupBy(*VIDEO, window_of("t_sec", w).alias("window_idx"))
         .agg(*_flow_aggs(list(which)))
     )
+
+
+def _counted(base: DataFrame, sparse: DataFrame, names: list[str]) -> DataFrame:
+    return base.join(sparse, KEY, "left").fillna(0, names)
+
+
+def _rates(w: float, which: tuple[str, ...]) -> dict[str, Column]:
+    return {f"{name}_flow_rate": F.col(_FLOW_COUNT[name]) / F.lit(w / 60.0) for name in which}
+
+
+def flows(
+    events: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS,
+    which: tuple[str, ...] = ("entry", "exit", "circulating"),
+) -> DataFrame:
+    """Zone entries per window, by class, and per minute."""
+    counted = _flow_counts(events, w, which)
     names = [c for c in counted.columns if c not in KEY]
-    out = spine.select(*KEY).join(counted, KEY, "left").fillna(0, names)
-    return out.withColumns(
-        {f"{name}_flow_rate": F.col(_FLOW_COUNT[name]) / F.lit(w / 60.0) for name in which}
-    )
+    return _counted(spine.select(*KEY), counted, names).withColumns(_rates(w, which))
 
 
 def entry_flow(events: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS) -> DataFrame:
@@ -92,42 +107,40 @@ def circulating_flow(events: DataFrame, spine: DataFrame, w: float = WINDOW_SECO
     return flows(events, spine, w, ("circulating",))
 
 
-def zone_occupancy(
-    events: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS, by_zone: bool = True,
-    zones: list[str] | None = None,
-) -> DataFrame:
-    """Vehicles inside a zone at every sample i*w/2 of a video (start, middle, end of each window).
+def _changes(events: DataFrame, w: float, place: list[str]) -> DataFrame:
+    """Net number of vehicles that a place gains or loses at each sample step i*w/2.
 
     A vehicle is inside while its last event of the zone is an entry. Per sample step only the last event
-    of a vehicle matters, so events are first reduced to that one; each change of state is then +1 or -1
-    at a sample, and a running sum over the samples of a video gives the occupancy. Nothing is expanded
-    per covered sample and the running sum sees two rows per window, however busy the video.
+    of a vehicle matters, so events are first reduced to that one (map-side as well); each change of state
+    is then +1 or -1. Nothing is expanded per covered sample.
     """
     vehicle = [*VIDEO, "tracker_id", "zone_name"]
-    rows = events if zones is None else events.filter(F.col("zone_name").isin(*zones))
-    last = rows.groupBy(*vehicle, F.ceil(F.col("t_sec") * 2 / w).cast("int").alias("sample")).agg(
-        F.max_by("event_type", F.struct("t_sec", "seq")).alias("_last")
+    last = events.groupBy(*vehicle, F.ceil(F.col("t_sec") * 2 / w).cast("int").alias("sample")).agg(
+        F.max_by(F.col("event_type") == "enter", F.struct("t_sec", "seq")).cast("int").alias("_inside")
     )
-    inside = (F.col("_last") == "enter").cast("int")
-    previous = F.lag(inside, 1, 0).over(Window.partitionBy(*vehicle).orderBy("sample"))
-    place = [*VIDEO, "zone_name"] if by_zone else VIDEO
-    steps = (
-        last.withColumn("_step", inside - previous)
+    previous = F.lag("_inside", 1, 0).over(Window.partitionBy(*vehicle).orderBy("sample"))
+    return (
+        last.withColumn("_step", F.col("_inside") - previous)
         .filter(F.col("_step") != 0)
         .groupBy(*place, "sample")
         .agg(F.sum("_step").alias("_step"))
     )
-    grid = spine.groupBy(*VIDEO).agg((F.max("window_idx") * 2 + 2).alias("_last"))
-    if by_zone:
-        names = zones if zones is not None else None
-        if names is None:
-            grid = grid.join(rows.select(*place).distinct(), VIDEO)
-        else:
-            grid = grid.withColumn("zone_name", F.explode(F.array(*[F.lit(z) for z in names])))
-    grid = grid.select(*place, F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("sample"))
+
+
+def zone_occupancy(events: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS) -> DataFrame:
+    """Vehicles inside each zone of a video at every sample i*w/2 (start, middle, end of each window).
+
+    A running sum of the changes over the samples of a video: two rows per window, however busy it is.
+    """
+    place = [*VIDEO, "zone_name"]
+    grid = (
+        spine.groupBy(*VIDEO).agg((F.max("window_idx") * 2 + 2).alias("_last"))
+        .join(events.select(*place).distinct(), VIDEO)
+        .select(*place, F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("sample"))
+    )
     running = Window.partitionBy(*place).orderBy("sample").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        grid.join(steps, [*place, "sample"], "left")
+        grid.join(_changes(events, w, place), [*place, "sample"], "left")
         .withColumn("occupancy", F.coalesce(F.sum("_step").over(running), F.lit(0)).cast("bigint"))
         .withColumn("sample_time", F.col("sample") * F.lit(w / 2))
         .select(*place, "sample", "sample_time", "occupancy")
@@ -136,19 +149,29 @@ def zone_occupancy(
 
 def occupancy_stats(events: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS) -> DataFrame:
     """Average, largest and smallest circulating occupancy at start, middle and end of each window."""
-    samples = zone_occupancy(events, spine, w, by_zone=False, zones=CIRCULATING)
-    w_video = Window.partitionBy(*VIDEO).orderBy("sample")
-    start, middle, end = F.col("occupancy"), F.col("_middle"), F.col("_end")
+    ring = events.filter(F.col("zone_name").isin(*CIRCULATING))
+    first = F.col("sample") % 2 == 0
+    steps = _changes(ring, w, VIDEO).groupBy(*VIDEO, F.floor(F.col("sample") / 2).cast("int").alias("window_idx")).agg(
+        F.sum(F.when(first, F.col("_step")).otherwise(0)).alias("_at_start"),
+        F.sum(F.when(first, 0).otherwise(F.col("_step"))).alias("_at_middle"),
+    )
+    # the step at the end of the last window belongs to the window after it, hence the outer join
+    rows = (
+        spine.select(*KEY, F.lit(True).alias("_in_spine")).join(steps, KEY, "full_outer")
+        .fillna(0, ["_at_start", "_at_middle"])
+    )
+    video = Window.partitionBy(*VIDEO).orderBy("window_idx")
+    before = F.sum(F.col("_at_start") + F.col("_at_middle")).over(video.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        samples.withColumn("_middle", F.lead("occupancy", 1).over(w_video))
-        .withColumn("_end", F.lead("occupancy", 2).over(w_video))
-        .filter((F.col("sample") % 2 == 0) & end.isNotNull())
+        rows.withColumn("_start", F.coalesce(before, F.lit(0)) + F.col("_at_start"))
+        .withColumn("_middle", F.col("_start") + F.col("_at_middle"))
+        .withColumn("_end", F.col("_middle") + F.lead("_at_start", 1, 0).over(video))
+        .filter("_in_spine")
         .select(
-            *VIDEO,
-            (F.col("sample") / 2).cast("int").alias("window_idx"),
-            ((start + middle + end) / 3.0).alias("circulating_occupancy_avg"),
-            F.greatest(start, middle, end).alias("circulating_occupancy_max"),
-            F.least(start, middle, end).alias("circulating_occupancy_min"),
+            *KEY,
+            ((F.col("_start") + F.col("_middle") + F.col("_end")) / 3.0).alias("circulating_occupancy_avg"),
+            F.greatest("_start", "_middle", "_end").alias("circulating_occupancy_max"),
+            F.least("_start", "_middle", "_end").alias("circulating_occupancy_min"),
         )
     )
 
@@ -157,35 +180,37 @@ def _started(journeys: DataFrame, w: float) -> DataFrame:
     return journeys.filter("is_valid").withColumn("window_idx", window_of("t1", w))
 
 
+OD_NAMES = [f"od_{a}_to_{b}" for a, b in OD_PAIRS] + ["od_total_flow"]
+
+
+def _od_aggs() -> list[Column]:
+    pairs = [F.count_if((F.col("start_zone") == a) & (F.col("end_zone") == b)) for a, b in OD_PAIRS]
+    return [c.alias(n) for c, n in zip([*pairs, F.count(F.lit(1))], OD_NAMES)]
+
+
+def _speed_aggs() -> list[Column]:
+    v = F.col("speed_km_h")
+    return [
+        F.avg(v).alias("speed_avg_km_h"),
+        F.stddev_pop(v).alias("speed_std_km_h"),
+        F.min(v).alias("speed_min_km_h"),
+        F.max(v).alias("speed_max_km_h"),
+        F.avg(F.when(F.col("start_zone") == ENTER, v)).alias("entry_speed_avg_km_h"),
+        F.avg(F.when(F.contains("start_zone", F.lit("circulating")), v)).alias("circulating_speed_avg_km_h"),
+    ]
+
+
+_MEDIAN = ("speed_km_h", {"speed_median_km_h": 0.5})
+
+
 def od_matrix(journeys: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS) -> DataFrame:
     """Valid journeys begun in a window, by origin and destination."""
-    pairs = [
-        F.count_if((F.col("start_zone") == a) & (F.col("end_zone") == b)).alias(f"od_{a}_to_{b}")
-        for a, b in OD_PAIRS
-    ]
-    counted = _started(journeys, w).groupBy(*KEY).agg(*pairs, F.count(F.lit(1)).alias("od_total_flow"))
-    names = [c for c in counted.columns if c not in KEY]
-    return spine.select(*KEY).join(counted, KEY, "left").fillna(0, names)
+    return _counted(spine.select(*KEY), _started(journeys, w).groupBy(*KEY).agg(*_od_aggs()), OD_NAMES)
 
 
 def speed_stats(journeys: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS) -> DataFrame:
     """Speed statistics of journeys begun in a window; population deviation, null when empty."""
-    v = F.col("speed_km_h")
-    measured = _started(journeys, w).filter(v.isNotNull())
-    stats = ordered.aggregate_with_quantiles(
-        measured,
-        KEY,
-        [
-            F.avg(v).alias("speed_avg_km_h"),
-            F.stddev_pop(v).alias("speed_std_km_h"),
-            F.min(v).alias("speed_min_km_h"),
-            F.max(v).alias("speed_max_km_h"),
-            F.avg(F.when(F.col("start_zone") == ENTER, v)).alias("entry_speed_avg_km_h"),
-            F.avg(F.when(F.contains("start_zone", F.lit("circulating")), v)).alias("circulating_speed_avg_km_h"),
-        ],
-        "speed_km_h",
-        {"speed_median_km_h": 0.5},
-    )
+    stats = ordered.aggregate_with_quantiles(_started(journeys, w), KEY, _speed_aggs(), *_MEDIAN)
     return spine.select(*KEY).join(stats, KEY, "left")
 
 
@@ -209,15 +234,18 @@ def derived_features(df: DataFrame) -> DataFrame:
 def extract_features(
     events: DataFrame, vehicles: DataFrame, journeys: DataFrame, w: float = WINDOW_SECONDS
 ) -> DataFrame:
-    """All window features of every video in one job."""
+    """All window features of every video in one job.
+
+    Journeys are written once and then read for both the size check and the aggregation.
+    """
+    which = ("entry", "exit", "circulating")
     spine = window_spine(vehicles, w)
-    out = spine.withColumns(window_time_features("video_ts", "start_time"))
-    for part in (
-        flows(events, spine, w), occupancy_stats(events, spine, w),
-        od_matrix(journeys, spine, w), speed_stats(journeys, spine, w),
-    ):
-        out = out.join(part, KEY, "left")
-    return derived_features(out)
+    flow = _flow_counts(events, w, which)
+    begun = materialise(_started(journeys, w).select(*KEY, "start_zone", "end_zone", "speed_km_h"))
+    moves = ordered.aggregate_with_quantiles(begun, KEY, [*_od_aggs(), *_speed_aggs()], *_MEDIAN)
+    out = _counted(occupancy_stats(events, spine, w), flow, [c for c in flow.columns if c not in KEY])
+    out = _counted(out, moves, OD_NAMES).withColumns({**_span(w), **_rates(w, which)})
+    return derived_features(out.withColumns(window_time_features("video_ts", "start_time")))
 
 
 def _per_sequence(df: DataFrame, keys: list[str], back: int, step) -> DataFrame:

@@ -66,6 +66,11 @@ def vehicles(events: DataFrame) -> DataFrame:
     )
 
 
+def sightings(events: DataFrame) -> DataFrame:
+    """Every event as a sighting, for the length of the videos."""
+    return events.select("video_ts", "camera_id", F.col("t_sec").alias("last_seen_time"))
+
+
 def trip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four events of a user make one trip; a camera's whole period is one video."""
     rows = _events(spark, sf_dir).select("event_id", "user_id", "ts")

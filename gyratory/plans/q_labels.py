@@ -113,13 +113,13 @@ SELECT s.video_ts, s.camera_id, count(*) AS windows, count(*) FILTER (WHERE r.st
 FROM t_spine s LEFT JOIN (SELECT * FROM t_spine WHERE camera_id = 1) r USING (video_ts, window_idx)
 GROUP BY s.video_ts, s.camera_id""")
 def e8(spark, sf):
-    return E.alignment_check(W.window_spine(I.vehicles(I.zone_events(spark, sf)), I.DAY_WINDOW))
+    return E.alignment_check(W.window_spine(I.sightings(I.zone_events(spark, sf)), I.DAY_WINDOW))
 
 
 # F: windows that all four cameras have, against the labels.
 def windows(spark, sf):
     """Distinct (video, window) pairs with all four cameras."""
-    spine = W.window_spine(I.vehicles(I.zone_events(spark, sf)), I.DAY_WINDOW)
+    spine = W.window_spine(I.sightings(I.zone_events(spark, sf)), I.DAY_WINDOW)
     return (
         spine.groupBy("video_ts", "window_idx", "start_time", "end_time")
         .agg(F.count(F.lit(1)).alias("_n")).filter("_n = 4").drop("_n")
@@ -251,7 +251,7 @@ FROM t_spine s JOIN t_ratings l ON l.video_ts = s.video_ts AND l.camera_id = s.c
  AND l.datetime_start >= s.video_ts + to_seconds(CAST(s.start_time AS BIGINT))
  AND l.datetime_start < s.video_ts + to_seconds(CAST(s.end_time AS BIGINT))""")
 def f8(spark, sf):
-    spine = W.window_spine(I.vehicles(I.zone_events(spark, sf)), I.DAY_WINDOW)
+    spine = W.window_spine(I.sightings(I.zone_events(spark, sf)), I.DAY_WINDOW)
     return L.containment_join(spine, I.ratings(spark, sf)).select(
         "video_ts", "camera_id", "window_idx", "label_id", "congestion_enter_rating")
 

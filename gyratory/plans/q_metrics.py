@@ -18,6 +18,7 @@ from gyratory.plans.q_labels import TOTALS, WIDTH, fused, windows
 from gyratory.plans.q_prep import labelled_windows
 from gyratory.plans.q_windows import CLASSES, day_features
 from gyratory.plans.registry import query
+from gyratory.session import materialise
 
 # H
 S.TABLES["t_filled"] = "SELECT * FROM t_long WHERE congestion_rating IS NOT NULL"
@@ -230,7 +231,7 @@ def i2(spark, sf):
     f"R(round(min({c})::DOUBLE, 2)) AS min, R(round(quantile_cont({c}::DOUBLE, 0.25), 2)) AS q25, R(round(quantile_cont({c}::DOUBLE, 0.5), 2)) AS q50, "
     f"R(round(quantile_cont({c}::DOUBLE, 0.75), 2)) AS q75, R(round(max({c})::DOUBLE, 2)) AS max FROM t_fused" for c in _KEYF) + ")")
 def i3(spark, sf):
-    return R.describe(fused(spark, sf), _KEYF)
+    return R.describe(materialise(fused(spark, sf).select(*_KEYF)), _KEYF)
 
 
 @query("i4_hour_distribution", """

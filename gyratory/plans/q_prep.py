@@ -88,7 +88,7 @@ SELECT video_ts, camera_id, window_idx, CASE WHEN entry_count < 2 THEN 'free flo
 FROM t_flow""")
 def b12(spark, sf):
     ev = I.zone_events(spark, sf)
-    flow = W.entry_flow(ev, W.window_spine(I.vehicles(ev), I.DAY_WINDOW), I.DAY_WINDOW)
+    flow = W.entry_flow(ev, W.window_spine(I.sightings(ev), I.DAY_WINDOW), I.DAY_WINDOW)
     return flow.select(*W.KEY, B.rule_label("entry_count").alias("label"))
 
 
@@ -214,7 +214,7 @@ SEQ = ["total_entry_count", "total_exit_count", "avg_circulating_occupancy", "av
 def labelled_windows(spark, sf):
     base = fused(spark, sf).select("video_ts", "window_idx", "start_time", "end_time", "is_rush_hour", "day_of_week",
                                    "is_weekend", *SEQ)
-    return L.attach_labels(base, I.ratings(spark, sf), WIDTH)
+    return materialise(L.attach_labels(base, I.ratings(spark, sf), WIDTH))
 
 
 S.TABLES["t_table"] = "SELECT * FROM t_fused JOIN t_attached USING (video_ts, window_idx)"

@@ -50,7 +50,7 @@ def a1(spark, sf):
 
 def _spine_flow(spark, sf):
     ev = I.zone_events(spark, sf)
-    return W.flows(ev, W.window_spine(I.vehicles(ev), I.DAY_WINDOW), I.DAY_WINDOW, ("entry", "exit"))
+    return W.flows(ev, W.window_spine(I.sightings(ev), I.DAY_WINDOW), I.DAY_WINDOW, ("entry", "exit"))
 
 
 @query("a2_read_feature_files", """

@@ -25,17 +25,17 @@ def zone_table(spark):
 def day_features(spark, sf):
     """Window features of the day videos (hourly windows)."""
     ev = I.zone_events(spark, sf)
-    return W.extract_features(ev, I.vehicles(ev), J.journeys_of(ev, I.DISTANCES), I.DAY_WINDOW)
+    return W.extract_features(ev, I.sightings(ev), J.journeys_of(ev, I.DISTANCES), I.DAY_WINDOW)
 
 
 def _day(spark, sf):
     ev = I.zone_events(spark, sf)
-    return ev, W.window_spine(I.vehicles(ev), I.DAY_WINDOW)
+    return ev, W.window_spine(I.sightings(ev), I.DAY_WINDOW)
 
 
 def _trips(spark, sf):
     ev = I.trip_events(spark, sf)
-    return ev, W.window_spine(I.vehicles(ev), I.PERIOD_WINDOW), J.journeys_of(ev, I.DISTANCES)
+    return ev, W.window_spine(I.sightings(ev), I.PERIOD_WINDOW), J.journeys_of(ev, I.DISTANCES)
 
 
 @query("c1_point_in_zone", "SELECT camera_id, tracker_id, frame_num, zone_name FROM t_in_zone")
