@@ -101,7 +101,8 @@ def masked_cross_entropy(df: DataFrame, true: str = "y_true", probs: str = "prob
     """
     known = F.col(true) != MISSING
     p = F.when(known, F.col(probs)[F.greatest(F.col(true), F.lit(0))])
-    clipped = F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps))
+    # greatest() skips nulls, so the clipping must not touch unknown labels
+    clipped = F.when(known, F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps)))
     n = F.count_if(known)
     return df.agg(
         n.alias("n_valid"), F.coalesce(F.sum(-F.ln(clipped)), F.lit(0.0)).alias("loss_sum"),

@@ -115,7 +115,7 @@ _PT = "CASE y_true WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 E
 SELECT count(p) AS n_valid, R(sum(-ln(least(greatest(p, 1e-7), 1e0 - 1e-7)))) AS loss_sum,
        R(sum(-ln(p)) / (count(p) + 1e-7)) AS loss_unclipped,
        R(sum(-ln(least(greatest(p, 1e-7), 1e0 - 1e-7))) / count(p)) AS loss
-FROM (SELECT {_PT} AS p FROM t_pred)""")
+FROM (SELECT {_PT} AS p FROM t_known)""")
 def h7(spark, sf):
     return M.masked_cross_entropy(I.predictions(spark, sf))
 
