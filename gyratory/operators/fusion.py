@@ -20,22 +20,20 @@ def merge_cameras(features: DataFrame, cameras: int = len(CAMERA_DIRECTIONS)) ->
     """One row per window that every camera has, with `{direction}_{feature}` columns."""
     names = [f for f in FUSED_FEATURES if f in features.columns]
     names += [c for c in features.columns if "_lag_" in c or "_rolling_" in c]
-    first = F.col("camera_id") == 1
-    shared = [F.max(F.when(first, F.col(c))).alias(c) for c in [*_SPANS, *TIME_FEATURES] if c in features.columns]
-    wide = [
-        F.max(F.when(F.col("_direction") == d, F.col(c))).alias(f"{d}_{c}") for d in DIRECTIONS for c in names
-    ]
+    columns = set(features.columns)
+    shared = [f"max(`{c}`) FILTER (WHERE camera_id = 1) AS `{c}`" for c in [*_SPANS, *TIME_FEATURES] if c in columns]
+    wide = [f"max(`{c}`) FILTER (WHERE _direction = '{d}') AS `{d}_{c}`" for d in DIRECTIONS for c in names]
     spread = [
-        F.stddev_samp("entry_flow_rate").alias("entry_flow_imbalance"),
-        F.var_samp("entry_flow_rate").alias("entry_flow_variance"),
-        F.stddev_samp("exit_flow_rate").alias("exit_flow_imbalance"),
-        F.stddev_samp("circulating_occupancy_avg").alias("occupancy_imbalance"),
+        "stddev_samp(entry_flow_rate) AS entry_flow_imbalance",
+        "var_samp(entry_flow_rate) AS entry_flow_variance",
+        "stddev_samp(exit_flow_rate) AS exit_flow_imbalance",
+        "stddev_samp(circulating_occupancy_avg) AS occupancy_imbalance",
     ]
     return (
         features.withColumn("_direction", direction_of("camera_id"))
         .filter(F.col("_direction").isNotNull())
         .groupBy(*KEY)
-        .agg(F.count(F.lit(1)).alias("_cameras"), *shared, *wide, *spread)
+        .agg(F.count(F.lit(1)).alias("_cameras"), *[F.expr(e) for e in (*shared, *wide, *spread)])
         .filter(F.col("_cameras") == cameras)
         .drop("_cameras")
     )

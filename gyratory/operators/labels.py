@@ -100,7 +100,7 @@ def window_videos(windows: DataFrame, labels: DataFrame, width: int) -> DataFram
 def _widen(per_direction: DataFrame, keys: list[str]) -> DataFrame:
     return per_direction.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("direction") == d, F.col(c))).alias(f"{d}_{c}")
+            F.expr(f"max({c}) FILTER (WHERE direction = '{d}') AS {d}_{c}")
             for d in DIRECTIONS
             for c in ("entry_congestion", "exit_congestion", "label_count", "signaling")
         ]

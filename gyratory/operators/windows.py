@@ -43,10 +43,10 @@ def _span(w: float) -> dict[str, Column]:
 
 
 def _entered(zones: list[str], class_name: str | None = None) -> Column:
-    cond = F.col("zone_name").isin(*zones)
+    cond = f"zone_name IN ({', '.join(repr(z) for z in zones)})"
     if class_name:
-        cond = cond & (F.col("class_name") == class_name)
-    return F.count_if(cond)
+        cond += f" AND class_name = '{class_name}'"
+    return F.expr(f"count_if({cond})")
 
 
 def _flow_aggs(which: list[str]) -> list[Column]:

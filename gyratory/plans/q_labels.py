@@ -12,6 +12,7 @@ from gyratory.plans import inputs as I
 from gyratory.plans import sql_tables as S
 from gyratory.plans.q_windows import day_features, rounded
 from gyratory.plans.registry import query
+from gyratory.session import materialise
 
 WIDTH = int(I.DAY_WINDOW)
 INTS = {f for f in FUSED_FEATURES if "_count" in f} | {"circulating_occupancy_max"}
@@ -212,7 +213,7 @@ FROM t_windows w LEFT JOIN t_mode m USING (video_ts, window_idx) GROUP BY ALL"""
 
 def labelled(spark, sf, aggregation="mode"):
     """Fused windows with labels."""
-    return L.attach_labels(fused(spark, sf), I.ratings(spark, sf), WIDTH, aggregation)
+    return L.attach_labels(materialise(fused(spark, sf)), I.ratings(spark, sf), WIDTH, aggregation)
 
 
 @query("f6_attach_labels", f"""

@@ -214,7 +214,7 @@ SEQ = ["total_entry_count", "total_exit_count", "avg_circulating_occupancy", "av
 def labelled_windows(spark, sf):
     base = fused(spark, sf).select("video_ts", "window_idx", "start_time", "end_time", "is_rush_hour", "day_of_week",
                                    "is_weekend", *SEQ)
-    return materialise(L.attach_labels(base, I.ratings(spark, sf), WIDTH))
+    return materialise(L.attach_labels(materialise(base), I.ratings(spark, sf), WIDTH))
 
 
 S.TABLES["t_table"] = "SELECT * FROM t_fused JOIN t_attached USING (video_ts, window_idx)"

@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,15 +20,14 @@ def presented(df: DataFrame) -> DataFrame:
     """Result columns in engine-neutral form: rounded doubles, zone-less timestamps, dates as text."""
     out = []
     for field in df.schema.fields:
-        col, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        name, kind = f"`{field.name}`", field.dataType.typeName()
         if kind == "double":
-            col = F.round(col + F.lit(NUDGE), 6)
-        elif kind == "timestamp":
-            col = col.cast("timestamp_ntz")
-        elif kind == "date":
-            col = col.cast("string")
-        out.append(col.alias(field.name))
-    return df.select(*out)
+            out.append(f"round({name} + {NUDGE}D, 6) AS {name}")
+        elif kind in ("timestamp", "date"):
+            out.append(f"CAST({name} AS {'TIMESTAMP_NTZ' if kind == 'timestamp' else 'STRING'}) AS {name}")
+        else:
+            out.append(name)
+    return df.selectExpr(*out)
 
 
 def _rounded(sql: str) -> str:

@@ -20,6 +20,8 @@ def build(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs a stack walk per column expression; wide feature tables have hundreds
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GYRATORY_DRIVER_MEMORY", "8g"))
     )
