@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gyratory.constants import DIRECTIONS
 from gyratory.functions.ordered import checked_broadcast
-from gyratory.functions.scalars import severity
+from gyratory.functions.scalars import decode_congestion, severity
 
 WINDOW = ["video_ts", "window_idx"]
 LABEL_SUFFIXES = ("_congestion", "_label_count", "_signaling")
@@ -74,7 +74,7 @@ def label_aggregates(aggregation: str) -> list[Column]:
         if aggregation == "mode":
             return F.mode(column, deterministic=True)
         if aggregation == "max":
-            return F.max_by(column, severity(column))
+            return decode_congestion(F.max(severity(column)))
         return F.max_by(column, F.struct("datetime_start", "label_id"))
 
     return [

@@ -116,12 +116,13 @@ def gap_analysis(df: DataFrame, ts: str = "video_ts") -> DataFrame:
     stats = gaps.agg(
         F.min("_gap").alias("min_gap"), F.max("_gap").alias("max_gap"),
         F.max_by("_gap", F.struct("_n", -F.col("_gap"))).alias("most_common_gap"),
-    ).withColumn("_one", F.lit(1))
+    )
     span = stamps.agg(
         F.min(ts).alias("earliest"), F.max(ts).alias("latest"), F.sum("_n").alias("records"),
         F.count(F.lit(1)).alias("distinct_timestamps"),
-    ).withColumn("_one", F.lit(1))
-    return span.join(stats, "_one").drop("_one").withColumn("range_seconds", gap(F.col("latest"), F.col("earliest")))
+    )
+    both = span.unionByName(stats, allowMissingColumns=True)  # one row each, folded into one
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn("range_seconds", gap(F.col("latest"), F.col("earliest")))
 
 
 def daily_counts(summary: DataFrame) -> DataFrame:

@@ -115,8 +115,17 @@ def _changes(events: DataFrame, w: float, place: list[str]) -> DataFrame:
     is then +1 or -1. Nothing is expanded per covered sample.
     """
     vehicle = [*VIDEO, "tracker_id", "zone_name"]
-    last = events.groupBy(*vehicle, F.ceil(F.col("t_sec") * 2 / w).cast("int").alias("sample")).agg(
-        F.max_by(F.col("event_type") == "enter", F.struct("t_sec", "seq")).cast("int").alias("_inside")
+    # (time, list order) as one number: a fixed-width buffer keeps this a hash aggregation with map-side combine
+    at = F.expr("CAST(round(t_sec * 1e9D) AS DECIMAL(20, 0)) * CAST(1000000000000000000 AS DECIMAL(19, 0)) + seq")
+    entered, left = F.col("_entered"), F.col("_left")
+    last = (
+        events.withColumn("_at", at)
+        .groupBy(*vehicle, F.ceil(F.col("t_sec") * 2 / w).cast("int").alias("sample"))
+        .agg(
+            F.expr("max(_at) FILTER (WHERE event_type = 'enter')").alias("_entered"),
+            F.expr("max(_at) FILTER (WHERE event_type = 'exit')").alias("_left"),
+        )
+        .withColumn("_inside", F.coalesce(entered > left, entered.isNotNull()).cast("int"))
     )
     previous = F.lag("_inside", 1, 0).over(Window.partitionBy(*vehicle).orderBy("sample"))
     return (

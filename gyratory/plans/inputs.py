@@ -59,8 +59,8 @@ def zone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vehicles(events: DataFrame) -> DataFrame:
-    return events.groupBy("video_ts", "camera_id", "tracker_id").agg(
-        F.min_by("class_name", F.struct("t_sec", "seq")).alias("class_name"),
+    # a vehicle has one class, so the class may be a grouping column (text buffers would force a sort)
+    return events.groupBy("video_ts", "camera_id", "tracker_id", "class_name").agg(
         F.min("t_sec").alias("first_seen_time"),
         F.max("t_sec").alias("last_seen_time"),
     )

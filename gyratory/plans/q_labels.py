@@ -121,7 +121,7 @@ def e8(spark, sf):
 def windows(spark, sf):
     """Distinct (video, window) pairs with all four cameras."""
     spine = W.window_spine(I.sightings(I.zone_events(spark, sf)), I.DAY_WINDOW)
-    return (
+    return materialise(
         spine.groupBy("video_ts", "window_idx", "start_time", "end_time")
         .agg(F.count(F.lit(1)).alias("_n")).filter("_n = 4").drop("_n")
     )

@@ -156,7 +156,7 @@ def g5(spark, sf):
 @query("g6_split_by_phase", """
 SELECT cycle_phase, view_label, ID_type, count(*) AS n, count(congestion_rating) AS labelled FROM t_shifted GROUP BY ALL""")
 def g6(spark, sf):
-    parts = P.split_by_phase(P.shift_features(full_long(spark, sf), FEATURES))
+    parts = P.split_by_phase(materialise(P.shift_features(full_long(spark, sf), FEATURES)))
     counted = [p.groupBy("cycle_phase", "view_label", "ID_type").agg(
         F.count(F.lit(1)).alias("n"), F.count("congestion_rating").alias("labelled")) for p in parts]
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
@@ -168,7 +168,7 @@ WITH m AS (SELECT {', '.join(f'quantile_cont({c}::DOUBLE, 0.5) AS m_{c}' for c i
 SELECT ID, {', '.join(f'R(coalesce({c}::DOUBLE, m_{c})) AS {c}' for c in FEATURES)}
 FROM t_shifted, m WHERE cycle_phase = 'test_output_5'""")
 def g7(spark, sf):
-    train, _, test = P.split_by_phase(P.shift_features(full_long(spark, sf), FEATURES))
+    train, _, test = P.split_by_phase(materialise(P.shift_features(full_long(spark, sf), FEATURES)))
     return P.fill_with_train_median(test, train, FEATURES).select("ID", *FEATURES)
 
 

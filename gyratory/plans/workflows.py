@@ -50,7 +50,8 @@ def forecasting_dataset(
     full = materialise(prep.append_template(long, template))
     names = prep.select_features(full)
     series = ["time_segment_id", *[c for c in ("window_idx",) if c in full.columns], "ID"]
-    training, validation, testing = prep.split_by_phase(prep.shift_features(full, names, periods, series))
+    shifted = materialise(prep.shift_features(full, names, periods, series))
+    training, validation, testing = prep.split_by_phase(shifted)
     return ForecastingTables(training, validation, prep.fill_with_train_median(testing, training, names), names)
 
 
