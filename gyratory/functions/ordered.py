@@ -169,24 +169,45 @@ def aggregate_with_quantiles(
         parts.append(small.groupBy(*keys).agg(*aggs, *exact))
     if large is not None:
         base = large.groupBy(*keys).agg(*aggs, F.count(value).alias("_n"))
-        spots = _placed(
-            large.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_pos"
-        )
+        spans = _value_spans(large, keys, value)
         sizes = _renamed(base.select(*keys, "_n"), keys)
-        ranked = spots.join(sizes, _same(spots, sizes, keys))
+        ranked = spans.join(sizes, _same(spans, sizes, keys))
         picks = []
         for n, p in probs.items():
             rank = 1 + F.lit(p) * (F.col("_n") - 1)
-            low = F.max(F.when(F.col("_pos") == F.floor(rank), F.col(value).cast("double")))
-            high = F.max(F.when(F.col("_pos") == F.ceil(rank), F.col(value).cast("double")))
-            share = F.max(rank - F.floor(rank))
-            picks.append((low + (high - low) * share).alias(n))
+
+            def at(spot: Column) -> Column:
+                inside = (F.col("_from") <= spot) & (spot <= F.col("_to"))
+                return F.max(F.when(inside, F.col(value).cast("double")))
+
+            low, high = at(F.floor(rank)), at(F.ceil(rank))
+            picks.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(n))
         picked = _renamed(ranked.groupBy(*keys).agg(*picks), keys)
         joined = base.join(picked, _same(base, picked, keys), "left")
         parts.append(joined.drop("_n", *[f"_r_{key}" for key in keys]))
     return _union(parts)
 
 
+def _value_spans(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Positions `_from`..`_to` that each distinct value takes in the sorted order of its key.
+
+    Equal values are counted before the range partitioning, so a value that fills half the table is one row.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = materialise(
+        counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id())
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    runs = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_rows"))
+    earlier = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(*_BEFORE))
+    runs = _renamed(runs.withColumn("_before", F.coalesce(earlier, F.lit(0))).drop("_rows"), [*keys, "_part"])
+    placed = ranged.withColumn("_upto", F.sum("_c").over(inside))
+    joined = placed.join(runs, _same(placed, runs, [*keys, "_part"]))
+    end = F.col("_before") + F.col("_upto")
+    return joined.select(*keys, value, (end - F.col("_c") + 1).alias("_from"), end.alias("_to"))
+
+
 def chronological_position(
     df: DataFrame, ts: str, tie: Sequence[Column | str], name: str, total: str, keys: Sequence[str] = ()
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyratory.constants import CAMERA_DIRECTIONS, CONGESTION, MISSING, RUSH_HOURS
@@ -140,10 +140,9 @@ def encode_by_first_appearance(
     seen = train.select(column, F.lit(0).alias("_side"), F.col(order).alias("_at")).unionByName(
         test.select(column, F.lit(1).alias("_side"), F.col(order).alias("_at"))
     )
-    codes = _numbered(
-        seen.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct("_side", "_at")).alias("_first")),
-        "_first",
-    )
+    first = F.expr("min(_at) FILTER (WHERE _side = 0)"), F.expr("min(_at) FILTER (WHERE _side = 1)")
+    firsts = seen.filter(F.col(column).isNotNull()).groupBy(column).agg(first[0].alias("_a"), first[1].alias("_b"))
+    codes = _numbered(firsts, F.col("_a").asc_nulls_last(), F.col("_b"))
     codes = checked_broadcast(codes)
     return tuple(_with_code(df, codes, column) for df in (train, test))
 
@@ -158,12 +157,10 @@ def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     )
 
 
-def _numbered(values: DataFrame, order: str) -> DataFrame:
+def _numbered(values: DataFrame, *order: Column | str) -> DataFrame:
     """Number the distinct values; one row per category of a categorical column."""
-    from pyspark.sql import Window
-
-    code = F.row_number().over(Window.orderBy(order)) - 1
-    return values.withColumn("_code", code).drop("_first")
+    code = F.row_number().over(Window.orderBy(*order)) - 1
+    return values.withColumn("_code", code).drop("_a", "_b")
 
 
 def _with_code(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:

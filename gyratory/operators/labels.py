@@ -57,9 +57,11 @@ def overlap_join(windows: DataFrame, labels: DataFrame, width: int, how: str = "
     )
     if how == "inner":
         return pairs
-    extra = [c for c in pairs.columns if c not in windows.columns]
+    # Windows without labels are added, not outer-joined: a window with very many labels then never has to
+    # meet all of them in one task.
     key = [*WINDOW, "direction"]
-    return windows.join(pairs.select(*key, *extra), key, "left")
+    alone = windows.join(pairs.select(*key).distinct(), key, "left_anti")
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
 def label_aggregates(aggregation: str) -> list[Column]:

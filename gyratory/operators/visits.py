@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyratory.functions import ordered
+from gyratory.session import materialise
 
 VIDEO = ["video_ts", "camera_id"]
 VEHICLE = [*VIDEO, "tracker_id"]
@@ -37,10 +38,10 @@ def zone_visits(events: DataFrame) -> DataFrame:
 
 def dwell_stats(visits: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Distribution of the known durations per video and zone."""
-    d = F.col("duration")
+    d, keys = F.col("duration"), keys or [*VIDEO, "zone_name"]
     return ordered.aggregate_with_quantiles(
-        visits.filter(d.isNotNull()),
-        keys or [*VIDEO, "zone_name"],
+        materialise(visits.filter(d.isNotNull()).select(*keys, d)),
+        keys,
         [
             F.avg(d).alias("dwell_mean"), F.min(d).alias("dwell_min"), F.max(d).alias("dwell_max"),
             F.stddev_samp(d).alias("dwell_std"), F.count(d).alias("dwell_count"),

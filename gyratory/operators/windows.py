@@ -219,7 +219,8 @@ def od_matrix(journeys: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS)
 
 def speed_stats(journeys: DataFrame, spine: DataFrame, w: float = WINDOW_SECONDS) -> DataFrame:
     """Speed statistics of journeys begun in a window; population deviation, null when empty."""
-    stats = ordered.aggregate_with_quantiles(_started(journeys, w), KEY, _speed_aggs(), *_MEDIAN)
+    begun = materialise(_started(journeys, w).select(*KEY, "start_zone", "speed_km_h"))
+    stats = ordered.aggregate_with_quantiles(begun, KEY, _speed_aggs(), *_MEDIAN)
     return spine.select(*KEY).join(stats, KEY, "left")
 
 

@@ -19,6 +19,7 @@ def build(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSe
         .appName("gyratory")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         # call-site capture costs a stack walk per column expression; wide feature tables have hundreds
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -36,13 +37,18 @@ def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS_DEFAULT)))
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, a local one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_dirs[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
