@@ -32,27 +32,32 @@ def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({key: f"_r_{key}" for key in keys})
 
 
-def split_by_size(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of small keys, rows of large keys); a side without rows is None.
+def split_by_size(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """(rows of small keys, rows of large keys, number of the latter); a side without rows is None.
 
     There are at most rows/limit large keys, so the list of them stays small.
     """
     limit = group_rows(df.sparkSession)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    if sizes.isEmpty():
-        return df, None
+    rows = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    if not rows:
+        return df, None, 0
     if not keys:
-        return None, df
+        return None, df, rows
     large = _renamed(sizes.drop("_rows"), keys)
     cond = _same(df, large, keys)
-    return df.join(large, cond, "left_anti"), df.join(large, cond, "left_semi")
+    return df.join(large, cond, "left_anti"), df.join(large, cond, "left_semi"), rows
 
 
-def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
-    """Exact 1-based position inside each key by range partitioning; no task holds a whole key."""
+def _parts(df: DataFrame, rows: int) -> int:
+    """Range partitions for that many rows: the session's number, more if a task would get over ten limits."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // (10 * group_rows(spark)) + 1)
+
+
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, rows: int) -> DataFrame:
+    """Exact 1-based position inside each key by range partitioning; no task holds a whole key."""
+    ranged = df.repartitionByRange(_parts(df, rows), *keys, *order).sortWithinPartitions(*keys, *order)
     # monotonically_increasing_id = partition number << 33 | row number in the sorted partition
     tagged = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()))
     tagged = tagged.withColumn("_part", F.shiftright("_at", 33))
@@ -77,13 +82,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """row_number() over (keys; order), as bigint."""
-    small, large = split_by_size(df, keys)
+    small, large, rows = split_by_size(df, keys)
     parts = []
     if small is not None:
         w = Window.partitionBy(*keys).orderBy(*order)
         parts.append(small.withColumn(name, F.row_number().over(w).cast("bigint")))
     if large is not None:
-        parts.append(_placed(large, keys, order, name))
+        parts.append(_placed(large, keys, order, name, rows))
     return _union(parts)
 
 
@@ -96,7 +101,7 @@ def framed(
     step: Callable[[DataFrame, WindowSpec], DataFrame],
 ) -> DataFrame:
     """Apply ``step(frame, window)``, whose frames reach at most ``back`` rows behind and ``ahead`` rows ahead."""
-    small, large = split_by_size(df, keys)
+    small, large, rows = split_by_size(df, keys)
     parts = []
     if small is not None:
         parts.append(step(small, Window.partitionBy(*keys).orderBy(*order)))
@@ -113,7 +118,7 @@ def framed(
             )
         )
         tiled = (
-            _placed(large, keys, order, "_pos")
+            _placed(large, keys, order, "_pos", rows)
             .withColumn("_home", home)
             .withColumn("_tile", F.explode(copies))
         )
@@ -127,14 +132,14 @@ def running_last(
 ) -> DataFrame:
     """Last non-null value up to and including the row (forward fill)."""
     upto = (Window.unboundedPreceding, Window.currentRow)
-    small, large = split_by_size(df, keys)
+    small, large, rows = split_by_size(df, keys)
     parts = []
     if small is not None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
         parts.append(small.withColumn(name, F.last(value, ignorenulls=True).over(w)))
     if large is not None:
         tile_rows = group_rows(df.sparkSession)
-        tiled = _placed(large, keys, order, "_pos").withColumn(
+        tiled = _placed(large, keys, order, "_pos", rows).withColumn(
             "_tile", F.floor((F.col("_pos") - 1) / tile_rows)
         )
         newest = F.max(F.when(F.col(value).isNotNull(), F.struct("_pos", F.col(value).alias("_v"))))
@@ -162,14 +167,14 @@ def aggregate_with_quantiles(
     The built-in exact percentile keeps every distinct value of a group in one buffer, so large groups
     read their quantiles off exact positions instead.
     """
-    small, large = split_by_size(df, keys)
+    small, large, rows = split_by_size(df, keys)
     parts = []
     if small is not None:
         exact = [F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()]
         parts.append(small.groupBy(*keys).agg(*aggs, *exact))
     if large is not None:
         base = large.groupBy(*keys).agg(*aggs, F.count(value).alias("_n"))
-        spans = _value_spans(large, keys, value)
+        spans = _value_spans(large, keys, value, rows)
         sizes = _renamed(base.select(*keys, "_n"), keys)
         ranked = spans.join(sizes, _same(spans, sizes, keys))
         picks = []
@@ -188,15 +193,14 @@ def aggregate_with_quantiles(
     return _union(parts)
 
 
-def _value_spans(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def _value_spans(df: DataFrame, keys: Sequence[str], value: str, rows: int) -> DataFrame:
     """Positions `_from`..`_to` that each distinct value takes in the sorted order of its key.
 
     Equal values are counted before the range partitioning, so a value that fills half the table is one row.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ranged = materialise(
-        counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id())
+        counts.repartitionByRange(_parts(df, rows), *keys, value).withColumn("_part", F.spark_partition_id())
     )
     inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     runs = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_rows"))

@@ -99,10 +99,10 @@ def test_chronological_position(spark, both_paths):
 def test_only_large_keys_are_tiled(spark, table):
     df, _ = table
     spark.conf.set(GROUP_ROWS_CONF, "100")
-    small, large = ordered.split_by_size(df, ["k"])
+    small, large, n = ordered.split_by_size(df, ["k"])
     spark.conf.unset(GROUP_ROWS_CONF)
     assert {r.k for r in large.select("k").distinct().collect()} == {"hot"}
-    assert small.count() + large.count() == df.count()
+    assert small.count() + large.count() == df.count() and large.count() == n
 
 
 def test_checked_broadcast_gives_up_on_large_tables(spark):

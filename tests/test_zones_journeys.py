@@ -17,6 +17,7 @@ DET_DDL = ("video_name string, camera_id int, tracker_id long, frame_num int, ti
 
 
 def det(tracker, frame, x, y, camera=1, name="car"):
+    x, y = float(x), float(y)
     return ("v", camera, tracker, frame, frame / 10.0, 2, name, x - 1, y - 3, x + 1, y)
 
 
