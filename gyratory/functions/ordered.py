@@ -73,6 +73,14 @@ def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n
     )
 
 
+def _positions(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rows: int, placed: str | None
+) -> DataFrame:
+    if placed:
+        return df.withColumn("_pos", F.col(placed))
+    return _placed(df, keys, order, "_pos", rows)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -80,6 +88,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _result(parts: list[DataFrame], large: DataFrame | None) -> DataFrame:
+    """Results with large keys are written once, so that steps built on them do not repeat the sorts."""
+    return _union(parts) if large is None else materialise(_union(parts))
+
+
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """row_number() over (keys; order), as bigint."""
     small, large, rows = split_by_size(df, keys)
@@ -89,7 +102,7 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
         parts.append(small.withColumn(name, F.row_number().over(w).cast("bigint")))
     if large is not None:
         parts.append(_placed(large, keys, order, name, rows))
-    return _union(parts)
+    return _result(parts, large)
 
 
 def framed(
@@ -99,8 +112,12 @@ def framed(
     back: int,
     ahead: int,
     step: Callable[[DataFrame, WindowSpec], DataFrame],
+    placed: str | None = None,
 ) -> DataFrame:
-    """Apply ``step(frame, window)``, whose frames reach at most ``back`` rows behind and ``ahead`` rows ahead."""
+    """Apply ``step(frame, window)``, whose frames reach at most ``back`` rows behind and ``ahead`` rows ahead.
+
+    ``placed`` names a column that already holds the position inside the key; it saves the sort of large keys.
+    """
     small, large, rows = split_by_size(df, keys)
     parts = []
     if small is not None:
@@ -118,19 +135,19 @@ def framed(
             )
         )
         tiled = (
-            _placed(large, keys, order, "_pos", rows)
+            _positions(large, keys, order, rows, placed)
             .withColumn("_home", home)
             .withColumn("_tile", F.explode(copies))
         )
         done = step(tiled, Window.partitionBy(*keys, "_tile").orderBy("_pos"))
         parts.append(done.filter(F.col("_tile") == F.col("_home")).drop("_pos", "_home", "_tile"))
-    return _union(parts)
+    return _result(parts, large)
 
 
 def running_last(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str, placed: str | None = None
 ) -> DataFrame:
-    """Last non-null value up to and including the row (forward fill)."""
+    """Last non-null value up to and including the row (forward fill); ``placed`` as in `framed`."""
     upto = (Window.unboundedPreceding, Window.currentRow)
     small, large, rows = split_by_size(df, keys)
     parts = []
@@ -139,7 +156,7 @@ def running_last(
         parts.append(small.withColumn(name, F.last(value, ignorenulls=True).over(w)))
     if large is not None:
         tile_rows = group_rows(df.sparkSession)
-        tiled = _placed(large, keys, order, "_pos", rows).withColumn(
+        tiled = _positions(large, keys, order, rows, placed).withColumn(
             "_tile", F.floor((F.col("_pos") - 1) / tile_rows)
         )
         newest = F.max(F.when(F.col(value).isNotNull(), F.struct("_pos", F.col(value).alias("_v"))))
@@ -156,7 +173,7 @@ def running_last(
                 "_pos", "_tile", "_carry", *[f"_r_{key}" for key in [*keys, "_tile"]]
             )
         )
-    return _union(parts)
+    return _result(parts, large)
 
 
 def aggregate_with_quantiles(

@@ -53,9 +53,10 @@ def persistence(df: DataFrame, value: str = "severity") -> DataFrame:
         same = before == F.coalesce(F.col(value), F.lit(-1))
         return frame.withColumn("_new", ~F.coalesce(same, F.lit(False)))
 
-    marked = ordered.position(ordered.framed(df, SERIES, ORDER, 1, 0, step), SERIES, ORDER, "_row")
+    numbered = ordered.position(df, SERIES, ORDER, "_row")
+    marked = ordered.framed(numbered, SERIES, ["_row"], 1, 0, step, "_row")
     marked = marked.withColumn("_mark", F.when(F.col("_new"), F.col("_row")))
-    filled = ordered.running_last(marked, SERIES, ORDER, "_mark", "_since")
+    filled = ordered.running_last(marked, SERIES, ["_row"], "_mark", "_since", "_row")
     return filled.withColumn("persistence", F.col("_row") - F.col("_since")).drop("_row", "_mark", "_since", "_new")
 
 

@@ -75,9 +75,9 @@ def shift_features(
 ) -> DataFrame:
     """Features of `periods` rows earlier in the series; incomplete rows leave all phases but the test output.
 
-    dedupe=True keeps one row per ID first, so that rows are segments.
+    dedupe=True first keeps the earliest row per ID, so that rows are segments.
     """
-    rows = df.dropDuplicates(["ID"]) if dedupe else df
+    rows = ordered.position(df, ["ID"], list(order), "_k").filter("_k = 1").drop("_k") if dedupe else df
 
     def step(frame: DataFrame, w) -> DataFrame:
         return frame.withColumns({c: F.lag(c, periods).over(w) for c in features})
