@@ -130,10 +130,8 @@ def decode_congestion(col: Column | str) -> Column:
     return out
 
 
-def encode_by_first_appearance(
-    train: DataFrame, test: DataFrame, column: str, order: str
-) -> tuple[DataFrame, DataFrame]:
-    """Codes in order of first appearance, training rows before test rows; null -> -1.
+def appearance_codes(train: DataFrame, test: DataFrame, column: str, order: str) -> DataFrame:
+    """Codes 0.. in order of first appearance, training rows before test rows.
 
     Only the distinct values (one row each) are numbered, never the rows.
     """
@@ -142,9 +140,24 @@ def encode_by_first_appearance(
     )
     first = F.expr("min(_at) FILTER (WHERE _side = 0)"), F.expr("min(_at) FILTER (WHERE _side = 1)")
     firsts = seen.filter(F.col(column).isNotNull()).groupBy(column).agg(first[0].alias("_a"), first[1].alias("_b"))
-    codes = _numbered(firsts, F.col("_a").asc_nulls_last(), F.col("_b"))
-    codes = checked_broadcast(codes)
-    return tuple(_with_code(df, codes, column) for df in (train, test))
+    return checked_broadcast(_numbered(firsts, F.col("_a").asc_nulls_last(), F.col("_b")))
+
+
+def apply_codes(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    """The column replaced by its code, -1 where it has none."""
+    return (
+        df.join(codes, column, "left")
+        .withColumn(column, F.coalesce("_code", F.lit(MISSING)))
+        .drop("_code")
+    )
+
+
+def encode_by_first_appearance(
+    train: DataFrame, test: DataFrame, column: str, order: str
+) -> tuple[DataFrame, DataFrame]:
+    """B10 for a pair of tables."""
+    codes = appearance_codes(train, test, column, order)
+    return apply_codes(train, codes, column), apply_codes(test, codes, column)
 
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -163,14 +176,6 @@ def _numbered(values: DataFrame, *order: Column | str) -> DataFrame:
     return values.withColumn("_code", code).drop("_a", "_b")
 
 
-def _with_code(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
-    return (
-        df.join(codes, column, "left")
-        .withColumn(column, F.coalesce("_code", F.lit(MISSING)))
-        .drop("_code")
-    )
-
-
 def rule_label(flow: Column | str) -> Column:
     """Congestion label by flow."""
     f = _c(flow)

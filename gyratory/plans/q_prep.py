@@ -61,8 +61,7 @@ def encoded(spark, sf):
     """Labels with time features and signaling codes."""
     rows = B.add_time_features(I.ratings(spark, sf))
     train, test = rows.filter("cycle_phase = 'train'"), rows.filter("cycle_phase <> 'train'")
-    train, test = B.encode_by_first_appearance(train, test, "signaling", "label_id")
-    return train.unionByName(test)
+    return B.apply_codes(rows, B.appearance_codes(train, test, "signaling", "label_id"), "signaling")
 
 
 S.TABLES["t_encoded"] = """
