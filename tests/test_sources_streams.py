@@ -144,3 +144,16 @@ def test_models_learn_something(spark):
     assert M.feature_importance(forest, ["a", "b"]).first().feature == "a"
     res = M.compare_models(df, df, {"random_forest": lambda d: forest, "broken": lambda d: 1 / 0})
     assert res.count() == 1 and M.category_stats(res).first().category == "Random Forest"
+
+
+def test_shared_folder_follows_the_session():
+    from types import SimpleNamespace
+
+    from gyratory.session import shared_dir
+
+    def session(named):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: named), sparkContext=SimpleNamespace(applicationId="a"))
+
+    assert shared_dir(session("/shared/x")) == "/shared/x"
+    local = shared_dir(session(None))
+    assert local.startswith("/tmp/spark-") and shared_dir(session(None)) == local
