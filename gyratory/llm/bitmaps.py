@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap: one megabyte, whatever the table holds. A full one lets every row pass to the exact join.
-BITS = 1 << 23
+#: Bits of a bitmap, whatever the table holds: at most BITS / 64 words travel. A full one lets every row pass to the exact join.
+BITS = 1 << 22
 
 
-def maybe_in(hashes: DataFrame, column: str) -> callable:
-    """A test of a hash column: false means that `column` of `hashes` does not hold the value; true has to be confirmed by a join.
+def _word(column: str):
+    return F.floor(F.pmod(F.col(column), F.lit(BITS)) / 64).cast("int")
 
-    The words of the bitmap are made by partial bit sums, at most BITS / 64 of them.
+
+def with_bit(rows: DataFrame, column: str, hashes: DataFrame, of: str) -> DataFrame:
+    """`rows` with `_bit`: false where column `of` of `hashes` does not hold the row's value; true has to be confirmed by a join.
+
+    The words are partial sums of bits, at most BITS / 64 rows of them.
     """
-    at = F.pmod(F.col(column), F.lit(BITS))
-    words = hashes.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod({column}, 64) AS INT))").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(BITS // 64, np.int64)
-    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    packed = F.lit(bytearray(table.astype("<i8").tobytes()))
-
-    def test(value: Column) -> Column:
-        place = F.pmod(value, F.lit(BITS))
-        byte = F.conv(F.hex(F.substring(packed, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-        return F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
-
-    return test
+    bit = F.expr(f"shiftleft(1L, CAST(pmod({of}, 64) AS INT))")
+    words = hashes.select(_word(of).alias("_word"), bit.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    out = rows.withColumn("_at", _word(column)).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    set_here = F.getbit(F.col("_bits"), F.pmod(F.col(column), F.lit(64)).cast("int")) == 1
+    return out.withColumn("_bit", F.coalesce(set_here, F.lit(False))).drop("_at", "_word", "_bits")

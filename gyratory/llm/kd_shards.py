@@ -62,11 +62,13 @@ class Node:
     cut: Cut | None = None
     children: list[Node] = field(default_factory=list)
 
-    def place(self) -> Column:
-        """First shard number of the deepest node that a row falls into."""
-        if self.cut is None:
-            return F.lit(self.first)
-        return F.when(self.cut.left(), self.children[0].place()).otherwise(self.children[1].place())
+
+def _stepped(rows: DataFrame, level: list[Node]) -> DataFrame:
+    """`rows` with `_node` moved from this level's nodes to their children."""
+    moved = F.col("_node")
+    for n in level:
+        moved = F.when(F.col("_node") == n.first, F.when(n.cut.left(), n.children[0].first).otherwise(n.children[1].first)).otherwise(moved)
+    return rows.withColumn("_node", moved)
 
 
 def _chosen(rows: DataFrame, digit: Column, goals: dict[int, float]) -> dict[int, tuple[int, float, float]]:
@@ -88,16 +90,15 @@ def _any(columns: list[Column]) -> Column:
     return out
 
 
-def fit_tree(points: DataFrame, axes: list[str], shards: int, tolerance: float = 0.005) -> tuple[Node, DataFrame]:
+def fit_tree(points: DataFrame, axes: list[str], shards: int, tolerance: float = 0.005) -> tuple[list[list[Node]], DataFrame]:
     """Split until each leaf is one shard. `points` has size, _text, _row (digits) and the axes.
 
     A node of k shards is cut where the running bytes along its widest axis reach (k//2)/k of its own. Four
     aggregations a level find it: ranges, bins of the axis, text digits of the bin, row digits of that digit. A bin or digit lighter than
     `tolerance` of a shard is not cut further, so equal texts at the same place stay together unless they weigh more. The driver
-    holds a few numbers a node. Returned are the tree and the points with `_node`, which ends as the shard.
+    holds a few numbers a node. Returned are the levels of the tree and the points with `_node`, which ends as the shard.
     """
-    root = Node(0, shards)
-    level = [root] if shards > 1 else []
+    level, levels = [Node(0, shards)] if shards > 1 else [], []
     span = points.agg(*[F.min(a).alias(f"l_{a}") for a in axes], *[F.max(a).alias(f"h_{a}") for a in axes]).first()
     whole = {a: (span[f"h_{a}"] or 0.0) - (span[f"l_{a}"] or 0.0) for a in axes}
     points = points.withColumn("_node", F.lit(0))
@@ -150,13 +151,11 @@ def fit_tree(points: DataFrame, axes: list[str], shards: int, tolerance: float =
             half = n.leaves // 2
             n.children = [Node(n.first, half), Node(n.first + half, n.leaves - half)]
             following += [c for c in n.children if c.leaves > 1]
-        moved = F.col("_node")
-        for n in level:
-            moved = F.when(F.col("_node") == n.first, F.when(n.cut.left(), n.children[0].first).otherwise(n.children[1].first)).otherwise(moved)
         # written once a level, so that no expression grows with the depth
-        points = materialise(points.withColumn("_node", moved))
+        points = materialise(_stepped(points, level))
+        levels.append(level)
         level = following
-    return root, points
+    return levels, points
 
 
 def points_of(docs: DataFrame, axes: dict[str, Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,14 +204,17 @@ def with_shard(docs: DataFrame, shards: int, axes: dict[str, Column] | None = No
     """`docs` with its shard number, which replaces a column `shard`: the tree is an expression, so rows do not move."""
     axes = axes or metadata_axes(docs)
     narrow = points_of(docs, axes, doc_id, text)
-    tree, _ = fit_tree(materialise(narrow), [f"_axis_{a}" for a in axes], shards)
+    levels, _ = fit_tree(materialise(narrow), [f"_axis_{a}" for a in axes], shards)
     body = F.coalesce(docs[text], F.lit(""))
     digest = F.xxhash64(body)
     wide = docs.select(
         *[docs[c] for c in docs.columns if c != "shard"], *[c.alias(f"_axis_{a}") for a, c in axes.items()],
         F.pmod(digest, F.lit(DIGITS)).cast("int").alias("_text"), F.pmod(F.xxhash64(F.lit(7), docs[doc_id], digest), F.lit(DIGITS)).cast("int").alias("_row"),
     )
-    return wide.select(*[c for c in docs.columns if c != "shard"], tree.place().alias("shard"))
+    wide = wide.withColumn("_node", F.lit(0))
+    for level in levels:
+        wide = _stepped(wide, level)
+    return wide.select(*[c for c in docs.columns if c != "shard"], F.col("_node").alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyratory.llm.bitmaps import maybe_in
+from gyratory.llm.bitmaps import with_bit
 from gyratory.llm.blocks import as_bytes
 from gyratory.llm.components import components
 from gyratory.llm.golay_simhash import simhash, wide_keys
@@ -136,10 +136,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: in
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & F.expr(f"bit_count(x.fingerprint ^ y.fingerprint) <= {APART}")
     pairs = materialise(x.join(y, near).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
     crowded = materialise(keys.filter(F.col("members") > crowd).select("node").distinct())
-    asked = materialise(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(crowded).distinct().join(classes.select("node", "doc_id", "row_hash"), "node"))
-    wanted = maybe_in(asked.select(F.xxhash64("doc_id", "row_hash").alias("h")), "h")
+    asked = (pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(crowded).distinct().join(classes.select("node", "doc_id", "row_hash"), "node"))
+    asked = materialise(asked.withColumn("h", F.xxhash64("doc_id", "row_hash")))
     body = docs.select(F.col(doc_id).alias("_id"), _hash_of(text).alias("_hash"), F.col(text).alias("text"))
-    body = body.filter(wanted(F.xxhash64("_id", "_hash")))
+    body = with_bit(body.withColumn("_h", F.xxhash64("_id", "_hash")), "_h", asked, "h").filter("_bit")
     found = body.join(asked, body["_id"].eqNullSafe(asked["doc_id"]) & (body["_hash"] == asked["row_hash"])).select("node", "text")
     sets = materialise(_shingles(found, shingle).dropDuplicates(["node"]))
     links = _similar(pairs, sets, least)
@@ -157,8 +157,8 @@ def first_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd:
     groups = near_groups(docs, shingle, least, crowd, doc_id, text)
     gone = groups.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))))
     gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")))
-    named = docs.withColumns({"_g_hash": _hash_of(text)})
-    suspect = maybe_in(gone.select(F.xxhash64("_id", "_hash").alias("h")), "h")(F.xxhash64(F.col(doc_id), F.col("_g_hash")))
-    stay = named.filter(~suspect)
-    tried = named.filter(suspect).join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_g_hash") == F.col("_hash")), "left_anti")
+    named = docs.withColumn("_g_hash", _hash_of(text)).withColumn("_h", F.xxhash64(F.col(doc_id), F.col("_g_hash")))
+    named = with_bit(named, "_h", gone.withColumn("h", F.xxhash64("_id", "_hash")), "h")
+    stay = named.filter("NOT _bit")
+    tried = named.filter("_bit").join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_g_hash") == F.col("_hash")), "left_anti")
     return stay.union(tried).select(*docs.columns)
