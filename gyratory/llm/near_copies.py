@@ -16,8 +16,8 @@ from gyratory.llm.components import components
 from gyratory.llm.golay_simhash import simhash, wide_keys
 from gyratory.session import materialise
 
-#: Fingerprints over more than this number of bits are not compared further; pairs at a similarity of 0.8 differ by 7 at most in the test tables.
-APART = 14
+#: Fingerprints that differ by more bits are not compared further. Two keys of three hold up to five errors and most of eight.
+APART = 11
 
 
 def _hash_of(text: str) -> Column:
@@ -73,7 +73,7 @@ def _ordered(sets: DataFrame) -> DataFrame:
     """(node, n, at, shingle, rare) of the members of crowds: shingles in order of their frequency among them, with their positions."""
     each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    ranked = each.join(often, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("list"))
+    ranked = each.join(often, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("often", "shingle"))).alias("list"))
     rare = F.size(F.filter("list", lambda s: s["often"] <= 2)) / F.col("n")
     ranked = ranked.withColumn("rare", rare)
     return ranked.select("node", "n", "rare", F.posexplode(F.slice("list", 1, F.col("n"))).alias("at", "s")).select("node", "n", "rare", "at", F.col("s.shingle").alias("shingle"))
@@ -110,7 +110,7 @@ def _crowd_links(sets: DataFrame, least: float) -> DataFrame:
     return first.union(_similar(rest, sets, least))
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_hash, keep_id, keep_hash) of each document: the first (smallest doc_id) of its group.
 
     Two texts are linked when the sets of their `shingle`-word shingles (words end at ASCII white space, A-Z lower-cased; fewer words are one
@@ -126,22 +126,30 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: in
     order = F.struct("doc_id", "row_hash")
     classes = rows.groupBy("a", "b").agg(F.min(order).alias("first"), F.min("fingerprint").alias("fingerprint"))
     classes = materialise(classes.select(F.col("a").alias("node"), "b", "first.doc_id", "first.row_hash", "fingerprint"))
-    by_print = wide_keys(classes.select("fingerprint").distinct())
-    keys = by_print.join(classes.select(F.col("fingerprint").alias("f"), "node"), F.col("fingerprint") == F.col("f")).select("key", "node", "fingerprint")
-    keys = keys.repartition("key")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    keys = materialise(keys.join(sizes, "key"))
-    small = keys.filter(F.col("members") <= crowd)
+    # a fingerprint counts as many times as it has classes, so that a bucket's size bounds its pairs of texts
+    prints = materialise(classes.groupBy("fingerprint").agg(F.count(F.lit(1)).cast("int").alias("texts")))
+    keys = wide_keys(prints).repartition("key")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("texts").alias("weight")).filter("weight > 1")
+    keys = materialise(keys.join(sizes, "key").drop("texts"))
+    # members of full buckets; the bitmap may add a few others, which then count as members everywhere
+    full = materialise(keys.filter(F.col("weight") > crowd).select("fingerprint").distinct().withColumn("h", F.xxhash64("fingerprint")))
+    small = keys.filter(F.col("weight") <= crowd).select("key", "fingerprint", F.xxhash64("fingerprint").alias("h"))
+    small = with_bit(small, "h", full, "h").select("key", "fingerprint", "_bit")
     x, y = small.alias("x"), small.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & F.expr(f"bit_count(x.fingerprint ^ y.fingerprint) <= {APART}")
-    pairs = materialise(x.join(y, near).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct())
-    crowded = materialise(keys.filter(F.col("members") > crowd).select("node").distinct())
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.fingerprint") <= F.col("y.fingerprint")) & F.expr(f"NOT (x._bit AND y._bit) AND bit_count(x.fingerprint ^ y.fingerprint) <= {APART}")
+    met = x.join(y, near).select(F.col("x.fingerprint").alias("p"), F.col("y.fingerprint").alias("q"))
+    met = met.distinct()
+    one = classes.select(F.col("fingerprint").alias("p"), F.col("node").alias("x"))
+    other = classes.select(F.col("fingerprint").alias("q"), F.col("node").alias("y"))
+    pairs = materialise(met.join(one, "p").join(other, "q").filter((F.col("p") != F.col("q")) | (F.col("x") < F.col("y"))).select("x", "y"))
+    crowded = with_bit(classes.withColumn("h", F.xxhash64("fingerprint")), "h", full, "h").filter("_bit")
+    crowded = materialise(crowded.select("node"))
     asked = (pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(crowded).distinct().join(classes.select("node", "doc_id", "row_hash"), "node"))
     asked = materialise(asked.withColumn("h", F.xxhash64("doc_id", "row_hash")))
     body = docs.select(F.col(doc_id).alias("_id"), _hash_of(text).alias("_hash"), F.col(text).alias("text"))
     body = with_bit(body.withColumn("_h", F.xxhash64("_id", "_hash")), "_h", asked, "h").filter("_bit")
     found = body.join(asked, body["_id"].eqNullSafe(asked["doc_id"]) & (body["_hash"] == asked["row_hash"])).select("node", "text")
-    sets = materialise(_shingles(found, shingle).dropDuplicates(["node"]))
+    sets = materialise(_shingles(found, shingle))
     links = _similar(pairs, sets, least)
     if not crowded.isEmpty():
         links = links.union(_crowd_links(sets.join(crowded, "node", "left_semi"), least))
@@ -152,7 +160,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: in
     return rows.join(named, ["a", "b"]).select("doc_id", "row_hash", "keep_id", "keep_hash")
 
 
-def first_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that `near_groups` keeps, with their own columns. Only rows that may have to go meet the list of those that do."""
     groups = near_groups(docs, shingle, least, crowd, doc_id, text)
     gone = groups.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))))

@@ -106,7 +106,7 @@ def grades_of(docs: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, size: in
     return np.where(bad, 1 + (mass[:, None] > edges[None, :]).sum(axis=1), 0)
 
 
-def fit_severity(docs: DataFrame, labels: DataFrame, levels: int = 3, buckets: int = 1 << 18, most: int = 8000, longest: int = 100_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Ordinal:
+def fit_severity(docs: DataFrame, labels: DataFrame, levels: int = 3, buckets: int = 1 << 18, most: int = 6000, longest: int = 100_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Ordinal:
     """A model from at most `most` labelled texts of at most `longest` bytes, none of them held out.
 
     Executors turn the texts into bucket numbers; the driver gets those of the sample. Without any labelled text all scores are those of grade 0.
@@ -126,7 +126,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, levels: int = 3, buckets: i
     if not rows:
         return Ordinal(np.zeros(buckets, np.float32), np.full(levels, 20.0))
     parts = [np.frombuffer(r["found"], np.int32) for r in rows]
-    at, found = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts)
+    at, found = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]), np.concatenate(parts)
     told = telling(at, found, np.array([r["label"] for r in rows]) > 0, buckets)[found]
     at, found = at[told], found[told]
     grades = grades_of(at, found, np.array([r["label"] for r in rows]) > 0, buckets, levels)
