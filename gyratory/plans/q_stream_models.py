@@ -35,18 +35,10 @@ SELECT camera_id, tracker_id, frame_num, event_type, zone_name,
             ORDER BY event_type, zone_name) - 1 AS seq FROM t_track_events""")
 def k1(spark, sf):
     source = scratch(spark, "detections")
-    seen = I.detections(spark, sf)
-    seen.write.parquet(source)
-    # a heartbeat sighting outside every zone moves the watermark past the last track
-    last = seen.agg(F.max("timestamp_s").alias("_t"))
-    last.select(
-        F.lit(0).alias("camera_id"), F.lit("heartbeat").alias("video_name"), F.lit(-1).cast("bigint").alias("tracker_id"),
-        F.lit(1).alias("frame_num"), (F.col("_t") + 3600.0).alias("timestamp_s"),
-    ).write.mode("append").parquet(source)
+    I.detections(spark, sf).write.parquet(source)
     stream = spark.readStream.schema(schemas.DETECTIONS).parquet(source).withColumn("event_time", detection_time())
-    table = scratch(spark, "zone-events")
-    E.run_to_table(E.stream_zone_events(stream, zone_table(spark)), table, scratch(spark, "state"), "append")
-    return spark.read.parquet(table).select("camera_id", "tracker_id", "frame_num", "event_type", "zone_name", "seq")
+    events = E.run_zone_events(stream, zone_table(spark), scratch(spark, "zone-events"), scratch(spark, "state"))
+    return events.select("camera_id", "tracker_id", "frame_num", "event_type", "zone_name", "seq")
 
 
 def event_stream(spark, sf):

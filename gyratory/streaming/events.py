@@ -2,82 +2,99 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.utils import AnalysisException
 
 from gyratory.constants import CIRCULATING, COUNTED_CLASSES, ENTER, EXIT
 from gyratory.functions import ordered
-from gyratory.operators.zones import TRACK, zones_of_detections
-
-EVENTS = """video_name STRING, camera_id INT, tracker_id BIGINT, frame_num INT, timestamp_s DOUBLE,
-            event_type STRING, zone_name STRING, seq BIGINT"""
-STATE = "zones STRING, last_frame INT, pending STRING"
-
-
-def _advance(key: tuple, zones: list, last: int, rows: list) -> tuple[list, list, int]:
-    """Walk one vehicle's sightings in frame order and list its zone changes."""
-    out = []
-    for frame, seconds, now in sorted(rows):
-        if frame <= last:
-            continue
-        moves = [("enter", z) for z in sorted(set(now) - set(zones))]
-        moves += [("exit", z) for z in sorted(set(zones) - set(now))]
-        out += [(*key, frame, seconds, kind, z, frame * 1000 + i) for i, (kind, z) in enumerate(moves)]
-        zones, last = now, frame
-    return out, zones, last
-
-
-def _track(track_end_ms: int):
-    names = [c.split()[0] for c in EVENTS.replace("\n", " ").split(",")]
-
-    def on_vehicle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        zones, last, waiting = [], -1, []
-        if state.exists:
-            z, last, p = state.get
-            zones, waiting = json.loads(z), json.loads(p)
-        if state.hasTimedOut:
-            out, _, _ = _advance(key, zones, last, [r[:3] for r in waiting])
-            state.remove()
-            if out:
-                yield pd.DataFrame(out, columns=names)
-            return
-        for pdf in frames:
-            for f, s, z, t in zip(pdf["frame_num"], pdf["timestamp_s"], pdf["zones"], pdf["event_ms"]):
-                waiting.append([int(f), float(s), list(z), int(t)])
-        # frames the watermark has passed can no longer be overtaken by an earlier one
-        mark = state.getCurrentWatermarkMs()
-        ready = [r[:3] for r in waiting if r[3] <= mark]
-        waiting = [r for r in waiting if r[3] > mark]
-        out, zones, last = _advance(key, zones, last, ready)
-        newest = max([r[3] for r in waiting], default=mark)
-        state.update((json.dumps(zones), last, json.dumps(waiting)))
-        state.setTimeoutTimestamp(max(newest, mark) + track_end_ms)
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    return on_vehicle
-
-
-def stream_zone_events(
-    detections: DataFrame, zones: DataFrame, delay: str = "5 seconds", track_end: float = 10.0
-) -> DataFrame:
-    """K1: zone entries and exits of a detection stream.
+from gyratory.operators.zones import TRACK, changes, zones_of_detections
+from gyratory.session import materialise
+
+# what is kept of a vehicle between batches: its last sighting, and sightings the watermark has not passed
+SIGHTING = [*TRACK, "frame_num", "timestamp_s", "zones", "event_time"]
+STATE = """video_name STRING, camera_id INT, tracker_id BIGINT, frame_num INT, timestamp_s DOUBLE, zones ARRAY<STRING>,
+           event_time TIMESTAMP, kind STRING, version BIGINT"""
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The rows of the newest version; two are kept at most."""
+    version = rows.agg(F.max("version")).scalar()
+    return rows.filter(F.col("version") == version)
+
+
+def _moves(rows: DataFrame) -> DataFrame:
+    """Zone changes of the `ready` sightings in frame order after the `last` ones."""
+
+    def step(frame: DataFrame, w) -> DataFrame:
+        return frame.withColumn("_before", F.coalesce(F.lag("zones", 1).over(w), F.array().cast("array<string>")))
+
+    return changes(ordered.framed(rows, TRACK, ["frame_num"], 1, 0, step).filter("kind = 'ready'"))
 
-    Zone membership is a row-local expression; only the set difference between consecutive sightings is
-    kept per vehicle. Frames wait in state until the watermark passes them and are then taken in order; a
-    vehicle not seen for `track_end` seconds is closed. Detections carry `event_time`.
+
+def _sorted_out(rows: DataFrame) -> DataFrame:
+    """`ready` sightings that do not come after their vehicle's `last` one turn into `late` ones."""
+    known = rows.filter("kind = 'last'").select(*[F.col(c).alias(f"_{c}") for c in TRACK], F.col("frame_num").alias("_seen"))
+    same = F.lit(True)
+    for c in TRACK:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    late = (F.col("kind") == "ready") & (F.col("frame_num") <= F.col("_seen"))
+    met = rows.join(known, same, "left").withColumn("kind", F.when(late, F.lit("late")).otherwise(F.col("kind")))
+    return met.select(*SIGHTING, "kind")
+
+
+def track_zone_events(path: str, zones: DataFrame, delay: str = "5 seconds", video_seconds: float | None = None):
+    """K1: foreachBatch step that turns detections with `event_time` into zone entries and exits under `path`.
+
+    The expressions are those of the batch operator: each batch is put behind the last sighting of its vehicles and the zones of consecutive
+    sightings are compared, so a vehicle that is unseen for long keeps its zones. Sightings wait until the newest event time less
+    `delay` has passed them. One that then still comes before a sighting already taken goes to `late`, not away. With `video_seconds` a
+    vehicle's state goes once its video is over by that length; tracker numbers belong to one video.
+
+    A batch reads the state of the batch before and writes its own in the other of two slots, so a repeated batch replaces itself.
     """
-    placed = zones_of_detections(detections, zones).withWatermark("event_time", delay)
-    slim = placed.select(*TRACK, "frame_num", "timestamp_s", "zones", "event_time", F.unix_millis("event_time").alias("event_ms"))
-    return slim.groupBy(*TRACK).applyInPandasWithState(
-        _track(int(track_end * 1000)), EVENTS, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = zones_of_detections(batch, zones).select(*SIGHTING).withColumn("kind", F.lit("pending"))
+        if batch_id:
+            fresh = spark.read.schema(STATE).parquet(f"{path}/state/slot={(batch_id - 1) % 2}").drop("version").unionByName(fresh)
+        rows = materialise(fresh)
+        newest = rows.agg(F.max("event_time").alias("t")).select("t", (F.col("t") - F.expr(f"INTERVAL {delay}")).alias("mark")).first()
+        passed = F.col("event_time") <= F.lit(newest.mark)
+        kind = F.when((F.col("kind") == "pending") & passed, F.lit("ready")).otherwise(F.col("kind"))
+        rows = materialise(_sorted_out(rows.filter("kind != 'clock'").withColumn("kind", kind)))
+        _moves(rows.filter("kind in ('last', 'ready')")).write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
+        rows.filter("kind = 'late'").drop("kind").write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        values = [c for c in SIGHTING if c not in TRACK]
+        last = rows.filter("kind in ('last', 'ready')").groupBy(*TRACK).agg(F.max_by(F.struct(*values), "frame_num").alias("_s"))
+        last = last.select(*TRACK, "_s.*").withColumn("kind", F.lit("last"))
+        if video_seconds is not None:
+            over = F.col("event_time").cast("double") - F.col("timestamp_s") + F.lit(float(video_seconds))
+            last = last.filter(over > F.lit(newest.mark).cast("double"))
+        clock = spark.createDataFrame([(newest.t,)], "event_time timestamp").withColumn("kind", F.lit("clock"))
+        state = last.unionByName(rows.filter("kind = 'pending'")).unionByName(clock, allowMissingColumns=True)
+        state.withColumn("version", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/state/slot={batch_id % 2}")
+
+    return advance
+
+
+def zone_events(spark: SparkSession, path: str) -> DataFrame:
+    """K1: events so far, with those of sightings that still wait for the watermark; the state stays as it is."""
+    done = spark.read.parquet(f"{path}/events").drop("batch_id")
+    # a copy, since the next batches write over the slots
+    state = materialise(_newest(spark.read.schema(STATE).parquet(f"{path}/state")).filter("kind in ('last', 'pending')"))
+    waiting = state.withColumn("kind", F.when(F.col("kind") == "pending", "ready").otherwise("last"))
+    return done.unionByName(_moves(_sorted_out(waiting.select(*SIGHTING, "kind")).filter("kind != 'late'")))
+
+
+def run_zone_events(
+    stream: DataFrame, zones: DataFrame, path: str, checkpoint: str, delay: str = "5 seconds", video_seconds: float | None = None
+) -> DataFrame:
+    """K1: drain the available detections and return all events. Input without rows gives none."""
+    step = track_zone_events(path, zones, delay, video_seconds)
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return zone_events(stream.sparkSession, path)
 
 
 def stream_window_flow(events: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -121,7 +138,8 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 def keep_last_windows(spark: SparkSession, path: str, n: int, key: str = "camera_id", order: str = "window_start"):
     """K3: foreachBatch step that keeps the last n windows of every key in a versioned table.
 
-    Each version holds n rows per key; a batch first cuts itself down to that, then meets the stored rows.
+    Each version holds n rows per key; a batch first cuts itself down to that, then meets the rows of the batch before. Two versions are
+    kept, in slots that batches use in turn.
     """
 
     def cut(rows: DataFrame) -> DataFrame:
@@ -129,14 +147,10 @@ def keep_last_windows(spark: SparkSession, path: str, n: int, key: str = "camera
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         fresh = cut(batch)
-        try:
-            stored = spark.read.parquet(path).filter(F.col("version") < batch_id)
-            newest = stored.agg(F.max("version")).scalar()
-            old = stored.filter(F.col("version") == newest).drop("version")
+        if batch_id:
+            old = spark.read.schema(fresh.schema).parquet(f"{path}/slot={(batch_id - 1) % 2}")
             fresh = cut(old.join(fresh.select(key, order), [key, order], "left_anti").unionByName(fresh))
-        except AnalysisException:
-            pass  # first batch: nothing stored yet
-        fresh.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        fresh.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
 
     return upsert
 
@@ -149,5 +163,4 @@ def run_last_windows(stream: DataFrame, path: str, checkpoint: str, n: int) -> D
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    rows = spark.read.parquet(path)
-    return rows.filter(F.col("version") == rows.agg(F.max("version")).scalar()).drop("version")
+    return materialise(_newest(spark.read.parquet(path)).drop("version", "slot"))
