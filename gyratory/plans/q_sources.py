@@ -55,22 +55,28 @@ def _spine_flow(spark, sf):
 
 @query("a2_read_feature_files", """
 SELECT strftime(video_ts, '%Y-%m-%d-%H-%M-%S') AS video_timestamp, R(window_idx) AS window_idx, R(camera_id) AS camera_id,
-       R(entry_count) AS entry_count, R(CASE WHEN camera_id > 2 THEN exit_flow_rate END) AS exit_flow_rate
+       R(entry_count) AS entry_count, R(CASE WHEN camera_id > 2 THEN exit_flow_rate END) AS exit_flow_rate,
+       CASE WHEN camera_id > 3 THEN 'camera ' || camera_id || ', window ' || window_idx END AS place
 FROM t_flow""")
 def a2(spark, sf):
     flow = _spine_flow(spark, sf).withColumn("_file", F.date_format("video_ts", B.TIMESTAMP_FORMAT))
+    place = F.concat(F.lit("camera "), F.col("camera_id").cast("string"), F.lit(", window "), F.col("window_idx").cast("string"))
+    flow = flow.withColumn("place", place)
     path = scratch(spark, "features")
-    # two layouts; the folder names stand in for file names, which Spark chooses itself
-    for layout, names in (("narrow", []), ("wide", ["exit_flow_rate"])):
-        part = flow.filter("camera_id <= 2" if layout == "narrow" else "camera_id > 2")
-        part.select("_file", "camera_id", "window_idx", "entry_count", *names).write.option("header", True).partitionBy(
-            "_file").csv(f"{path}/{layout}")
+    # three layouts; the folder names stand in for file names, which Spark chooses itself
+    for layout, which, names in (
+        ("narrow", "camera_id <= 2", ["camera_id", "window_idx", "entry_count"]),
+        ("wide", "camera_id = 3", ["camera_id", "window_idx", "entry_count", "exit_flow_rate"]),
+        ("quoted", "camera_id > 3", ["place", "exit_flow_rate", "entry_count", "window_idx", "camera_id"]),
+    ):
+        files = flow.filter(which).select("_file", *names).write.option("header", True).option("quoteAll", layout == "quoted")
+        files.partitionBy("_file").csv(f"{path}/{layout}")
     return _from_folders(spark, path)
 
 
 def _from_folders(spark, path):
     rows = R.read_feature_files(spark, path, "part-")
-    return rows.select("video_timestamp", "window_idx", "camera_id", "entry_count", "exit_flow_rate")
+    return rows.select("video_timestamp", "window_idx", "camera_id", "entry_count", "exit_flow_rate", "place")
 
 
 def tracking_file(spark, sf):

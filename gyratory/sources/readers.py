@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from gyratory import schemas
 from gyratory.functions import ordered
 from gyratory.functions.scalars import camera_of_view, direction_of, extract_timestamp, parse_video_ts
+from gyratory.session import materialise
 
-# Name parts of text columns in feature files; everything else is numeric.
-TEXT_PARTS = ["_congestion", "_signaling", "video_timestamp", "view_label", "signaling", "responseId", "cycle_phase",
-              "ID_", "videos"]
+# Put behind each line before it is parsed: a line with as many fields as its header has it in the next place.
+_END = "\u0003"
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -29,37 +29,71 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_feature_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """A2: all `{prefix}*.csv` of a folder by column name, with the timestamp of the file name (or folder).
+def _cells(line: Column | str, width: int) -> Column:
+    """Fields of a CSV line as an array of strings, and the end mark."""
+    names = [f"_{i}" for i in range(width + 1)]
+    ddl = ", ".join(f"{n} STRING" for n in names)
+    row = F.from_csv(F.concat(line, F.lit(f",{_END}")), ddl)
+    return F.array(*[row[n] for n in names])
 
-    Files may have different columns. The header of each file is found on the executors; only the distinct
-    headers (one per file layout) reach the driver, and each layout is parsed with its own schema.
-    """
+
+def _feature_lines(spark: SparkSession, folder: str, prefix: str) -> tuple[DataFrame, list[str]]:
+    """Parsed lines (_name, _file, _cells, _at, _damaged) and the names of all columns; `_at` holds the place of each name in the file."""
     lines = (
-        spark.read.option("pathGlobFilter", f"{prefix}*.csv").option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true").text(folder)
+        spark.read.option("pathGlobFilter", f"{prefix}*.csv").option("recursiveFileLookup", "true").text(folder)
         .select(
             "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
             F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
         )
     )
-    heads = lines.filter("_block = 0").groupBy("_file").agg(F.min_by("value", "_line").alias("_head"))
-    layouts = [r._head for r in heads.select("_head").distinct().collect()]
-    body = lines.join(ordered.checked_broadcast(heads), "_file").filter(F.col("value") != F.col("_head"))
-    out = None
-    for layout in layouts:
-        names = layout.split(",")
-        ddl = ", ".join(f"`{n}` {'STRING' if any(p in n for p in TEXT_PARTS) else 'DOUBLE'}" for n in names)
-        parsed = (
-            body.filter(F.col("_head") == layout)
-            .select("_name", "_file", F.from_csv("value", ddl).alias("_r"))
-            .select(F.col("_r.*"), F.coalesce(extract_timestamp("_name"), extract_timestamp("_file")).alias("_stamp"))
-        )
-        parsed = parsed.drop("video_timestamp").withColumnRenamed("_stamp", "video_timestamp")
-        out = parsed if out is None else out.unionByName(parsed, allowMissingColumns=True)
-    if out is None:
+    heads = materialise(lines.filter("_block = 0 and value != ''").groupBy("_file").agg(F.min_by("value", "_line").alias("_head")))
+    width = heads.agg(F.max(F.size(F.split("_head", ",")))).first()[0]
+    if width is None:
         raise FileNotFoundError(f"no {prefix}*.csv in {folder}")
-    return out
+    parsed = _cells("_head", width)
+    named = F.slice(parsed, 1, F.array_position(parsed, _END).cast("int") - 1)
+    heads = heads.withColumn("_names", F.transform(named, lambda n, i: F.coalesce(n, F.concat(F.lit("_c"), i.cast("string")))))
+    # one row per column name of the result, which becomes a column of the plan
+    names = sorted(r[0] for r in heads.select(F.explode("_names")).distinct().collect())
+    heads = heads.withColumn("_at", F.array(*[F.array_position("_names", F.lit(n)).cast("int") for n in names]))
+    heads = heads.withColumn("_size", F.size("_names"))
+    rows = lines.filter("value != ''").join(ordered.checked_broadcast(heads.drop("_names")), "_file").filter(F.col("value") != F.col("_head"))
+    rows = rows.select("_name", "_file", "_at", "_size", _cells("value", width).alias("_cells"))
+    whole = F.get("_cells", F.col("_size")).eqNullSafe(F.lit(_END))
+    return rows.withColumn("_damaged", ~whole), names
+
+
+def damaged_feature_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """A2: files that `read_feature_files` leaves out, because a line has more or fewer fields than the header."""
+    rows, _ = _feature_lines(spark, folder, prefix)
+    return rows.filter("_damaged").select(F.col("_file").alias("file")).distinct()
+
+
+def read_feature_files(spark: SparkSession, folder: str, prefix: str, types: dict[str, str] | None = None) -> DataFrame:
+    """A2: all `{prefix}*.csv` of a folder by column name, with the timestamp of the file name (or folder).
+
+    Files may have different columns; names may be quoted, and one without a name is called by its place. Every line is parsed once, whatever
+    its layout, and its cells are picked by the place of their name. A column is numeric if every cell is empty or a number, else text;
+    `types` names other types. A file with a line of more or fewer fields than its header is left out whole (`damaged_feature_files`); one that
+    cannot be read at all is an error.
+    """
+    types = types or {}
+    rows, names = _feature_lines(spark, folder, prefix)
+    place = {n: i for i, n in enumerate(names)}
+
+    def cell(name: str) -> Column:
+        # no such column in the file: place 0, which becomes -1 and null
+        return F.get("_cells", F.get("_at", F.lit(place[name])) - 1)
+
+    names = [n for n in names if n != "video_timestamp"]
+    open_types = [n for n in names if n not in types]
+    text = [F.bool_or(cell(n).isNotNull() & cell(n).try_cast("double").isNull()).alias(f"_t{i}") for i, n in enumerate(open_types)]
+    files = materialise(rows.groupBy("_file").agg(F.bool_or("_damaged").alias("_bad"), *text))
+    found = files.filter("not _bad").agg(F.count(F.lit(1)), *[F.coalesce(F.bool_or(t), F.lit(False)) for t in (f"_t{i}" for i in range(len(open_types)))]).first()
+    kinds = {n: "string" if is_text else "double" for n, is_text in zip(open_types, found[1:], strict=True)} | types
+    good = ordered.checked_broadcast(files.filter("not _bad").select("_file"))
+    stamp = F.coalesce(extract_timestamp("_name"), extract_timestamp("_file")).alias("video_timestamp")
+    return rows.join(good, "_file").select(*[cell(n).try_cast(kinds[n]).alias(n) for n in names], stamp)
 
 
 def tracking_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
