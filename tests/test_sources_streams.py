@@ -98,6 +98,24 @@ def test_sequences_on_disk(spark, tmp_path):
     assert rows(got, "sequence_id") == [(0, [0, -1]), (1, [3, -1])]
 
 
+def test_feature_files_of_several_layouts(spark, tmp_path):
+    def file(stamp, *lines):
+        (tmp_path / f"merged_features_{stamp}.csv").write_text("\n".join(lines) + "\n")
+
+    file("2025-01-01-00-00-00", '"window_idx","name",count', '0,"a,b",1.5', "1,,")
+    file("2025-01-01-00-15-00", "count,window_idx,zone", "2,0,7", "", "3,1,8")
+    file("2025-01-01-00-30-00", "window_idx,count", "0,1", "1,2,3")
+    file("2025-01-01-00-45-00", "window_idx,count", "0,4", "1")
+    out = R.read_feature_files(spark, str(tmp_path), "merged_features_")
+    assert dict(out.dtypes) == {"count": "double", "name": "string", "window_idx": "double", "zone": "double", "video_timestamp": "string"}
+    assert sorted(rows(out.select("video_timestamp", "window_idx", "count", "zone")), key=str) == [
+        ("2025-01-01-00-00-00", 0.0, 1.5, None), ("2025-01-01-00-00-00", 1.0, None, None),
+        ("2025-01-01-00-15-00", 0.0, 2.0, 7.0), ("2025-01-01-00-15-00", 1.0, 3.0, 8.0)]
+    assert {r.name for r in out.collect()} == {"a,b", None}
+    assert R.damaged_feature_files(spark, str(tmp_path), "merged_features_").count() == 2
+    assert dict(R.read_feature_files(spark, str(tmp_path), "merged_features_", {"zone": "string"}).dtypes)["zone"] == "string"
+
+
 def test_stream_equals_batch_with_disorder_and_several_files(spark, tmp_path):
     path = [(50, 50), (2, 2), (7, 7), (12, 12), (2, 2), (50, 50)]
     data = [det(t, f, *map(float, path[(f + t) % 6])) for t in range(5) for f in range(1, 40)]
@@ -106,15 +124,37 @@ def test_stream_equals_batch_with_disorder_and_several_files(spark, tmp_path):
     source = str(tmp_path / "in")
     df.filter("frame_num % 2 = 0").coalesce(1).write.parquet(source)
     df.filter("frame_num % 2 = 1").coalesce(1).write.mode("append").parquet(source)
-    far = spark.createDataFrame([det(-1, 100000, 500.0, 500.0)], DET_DDL)
-    far.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schemas.DETECTIONS).option("maxFilesPerTrigger", 1).parquet(source).withColumn(
+    out = E.run_zone_events(detection_stream(spark, source), zones, str(tmp_path / "out"), str(tmp_path / "state"), "30 seconds")
+    got = set(rows(out.select(*NAMES)))
+    assert got == set(rows(Z.detect_zone_events(df, zones).select(*NAMES))) and got
+
+
+NAMES = ["tracker_id", "frame_num", "event_type", "zone_name", "seq"]
+
+
+def detection_stream(spark, source):
+    return spark.readStream.schema(schemas.DETECTIONS).option("maxFilesPerTrigger", 1).parquet(source).withColumn(
         "event_time", F.timestamp_micros((F.col("timestamp_s") * 1_000_000).cast("bigint")))
-    out = str(tmp_path / "out")
-    E.run_to_table(E.stream_zone_events(stream, zones, "30 seconds"), out, str(tmp_path / "state"), "append")
-    names = ["tracker_id", "frame_num", "event_type", "zone_name", "seq"]
-    got = set(rows(spark.read.parquet(out).select(*names)))
-    assert got == set(rows(Z.detect_zone_events(df, zones).select(*names))) and got
+
+
+def test_stream_keeps_zones_over_a_gap_and_names_late_sightings(spark, tmp_path):
+    zones = spark.createDataFrame(ZONES, ZONE_DDL)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def arrive(*sightings):
+        spark.createDataFrame(list(sightings), DET_DDL).coalesce(1).write.mode("append").parquet(source)
+        return E.run_zone_events(detection_stream(spark, source), zones, out, state, "1 second")
+
+    inside, other = det(1, 30, 2.0, 2.0), [det(2, f, 7.0, 7.0) for f in (60, 900)]
+    first = arrive(inside, *other).count()
+    again = det(1, 30 * 61, 2.0, 2.0)
+    after = arrive(again, det(2, 30 * 62, 50.0, 50.0), det(3, 30 * 90, 2.0, 2.0))
+    whole = spark.createDataFrame([inside, *other, again, det(2, 30 * 62, 50.0, 50.0), det(3, 30 * 90, 2.0, 2.0)], DET_DDL)
+    assert sorted(rows(after.select(*NAMES))) == sorted(rows(Z.detect_zone_events(whole, zones).select(*NAMES)))
+    assert after.filter("tracker_id = 1 and event_type = 'enter'").count() == first - after.filter("tracker_id = 2 and event_type = 'enter'").count()
+    same = arrive(det(1, 31, 50.0, 50.0))
+    assert rows(same.select(*NAMES), *NAMES) == rows(after.select(*NAMES), *NAMES)
+    assert [r.frame_num for r in spark.read.parquet(f"{out}/late").collect()] == [31]
 
 
 def test_last_windows_over_batches(spark, tmp_path):
