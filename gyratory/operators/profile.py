@@ -139,16 +139,14 @@ def camera_totals(summary: DataFrame) -> DataFrame:
 
 
 def prefix_unpivot(df: DataFrame, keys: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
-    """The columns of each prefix as (family, key, value) rows."""
+    """The columns of each prefix as (family, key, value) rows; a column belongs to the longest prefix that it starts with."""
     names = [c for c in df.columns if any(c.startswith(p) for p in prefixes)]
     cast = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names])
     long = cast.unpivot(list(keys), names, "_c", "value")
-    family = F.lit(None).cast("string")
-    key = F.col("_c")
-    for p in prefixes:
-        family = F.when(F.startswith("_c", F.lit(p)), p).otherwise(family)
-        key = F.when(F.startswith("_c", F.lit(p)), F.substring("_c", len(p) + 1, 200)).otherwise(key)
-    return long.select(*keys, family.alias("family"), key.alias("key"), "value")
+    # one entry per column of the table, known from its schema
+    family = {c: max((p for p in prefixes if c.startswith(p)), key=len) for c in names}
+    known = F.create_map(*[F.lit(x) for c in names for x in (c, family[c])])[F.col("_c")]
+    return long.withColumn("family", known).select(*keys, "family", F.expr("substring(_c, length(family) + 1)").alias("key"), "value")
 
 
 def duration_histogram(vehicles: DataFrame, bins: int = 20) -> DataFrame:

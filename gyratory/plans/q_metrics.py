@@ -187,10 +187,21 @@ def h12(spark, sf):
 SELECT count(s.ID) AS rows, count(t.ID) AS expected_rows, count(*) FILTER (WHERE s.ID IS NULL) AS missing_ids,
        count(*) FILTER (WHERE t.ID IS NULL) AS extra_ids, count(*) FILTER (WHERE s.row_order <> t.row_order) AS out_of_order,
        count(*) FILTER (WHERE s.ID IS NOT NULL AND s.Target IS NULL) AS empty_targets
-FROM t_submission s FULL JOIN t_template t ON t.ID = s.ID""")
+FROM (SELECT CASE WHEN row_order % 50 = 1 THEN 'other_' || ID ELSE ID END AS ID,
+             CASE WHEN row_order % 50 = 2 THEN row_order + 1 WHEN row_order % 50 = 3 THEN row_order - 1 ELSE row_order END AS row_order,
+             CASE WHEN row_order % 50 <> 4 THEN Target END AS Target
+      FROM t_submission WHERE row_order % 50 <> 0) s
+FULL JOIN t_template t ON t.ID = s.ID""")
 def h13(spark, sf):
     wanted = template(spark, sf)
-    return M.validate_submission(M.build_submission(submission_predictions(spark, sf), wanted), wanted)
+    # a submission with faults of every kind: rows left out, foreign IDs, swapped rows, empty targets
+    nth = F.col("row_order") % 50
+    flawed = M.build_submission(submission_predictions(spark, sf), wanted).filter(nth != 0).withColumns({
+        "ID": F.when(nth == 1, F.concat(F.lit("other_"), "ID")).otherwise(F.col("ID")),
+        "row_order": F.col("row_order") + F.when(nth == 2, 1).when(nth == 3, -1).otherwise(0),
+        "Target": F.when(nth != 4, F.col("Target")),
+    })
+    return M.validate_submission(flawed, wanted)
 
 
 @query("h14_prediction_distribution", "SELECT * FROM (" + " UNION ALL ".join(
