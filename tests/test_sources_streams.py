@@ -191,9 +191,12 @@ def test_shared_folder_follows_the_session():
 
     from gyratory.session import shared_dir
 
-    def session(named):
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: named), sparkContext=SimpleNamespace(applicationId="a"))
+    def session(named, master="local[2]"):
+        context = SimpleNamespace(applicationId="a", master=master)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: named), sparkContext=context)
 
-    assert shared_dir(session("/shared/x")) == "/shared/x"
+    assert shared_dir(session("/shared/x")) == shared_dir(session("/shared/x", "spark://host:7077")) == "/shared/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session(None, "spark://host:7077"))
     local = shared_dir(session(None))
     assert local.startswith("/tmp/spark-") and shared_dir(session(None)) == local
