@@ -237,6 +237,13 @@ def i2(spark, sf):
     return R.missing_values(fused(spark, sf).select(*_NULLABLE))
 
 
+@query("i2_most_missing", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, R((count(*) - count({c})) * 100e0 / count(*)) AS percent "
+    "FROM t_fused" for c in _NULLABLE) + ") WHERE missing > 0 ORDER BY missing DESC, column_name LIMIT 5")
+def i2_most(spark, sf):
+    return R.missing_values(fused(spark, sf).select(*_NULLABLE), top=5)
+
+
 @query("i3_describe", "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count({c}) AS count, R(round(avg({c}), 2)) AS mean, R(round(stddev_samp({c}), 2)) AS std, "
     f"R(round(min({c})::DOUBLE, 2)) AS min, R(round(quantile_cont({c}::DOUBLE, 0.25), 2)) AS q25, R(round(quantile_cont({c}::DOUBLE, 0.5), 2)) AS q50, "
@@ -293,6 +300,13 @@ def i9(spark, sf):
     return R.correlations(labelled_windows(spark, sf), _CORR, "north_entry_congestion")
 
 
+@query("i9_top_correlations", "SELECT feature, R(correlation) AS correlation FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr({S.SEVERITY.format(c='north_entry_congestion')}, {c})) AS correlation FROM t_table"
+    for c in _CORR) + ") WHERE correlation IS NOT NULL ORDER BY correlation DESC LIMIT 2")
+def i9_top(spark, sf):
+    return R.top_correlations(labelled_windows(spark, sf), _CORR, "north_entry_congestion", top=2)
+
+
 @query("i10_gap_analysis", """
 WITH g AS (SELECT epoch_us(datetime_start) - epoch_us(lag(datetime_start) OVER (ORDER BY datetime_start)) AS gap FROM t_ratings),
      m AS (SELECT gap FROM g WHERE gap IS NOT NULL GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1)

@@ -219,6 +219,13 @@ def a12(spark, sf):
     return C.select_timestamps(stamped(spark, sf), "2024-01-05", "2024-01-20")
 
 
+@query("a12_first_timestamps", """
+SELECT DISTINCT strftime(video_ts, '%Y-%m-%d-%H-%M-%S') AS video_timestamp FROM t_ratings
+WHERE CAST(video_ts AS DATE) >= DATE '2024-01-05' ORDER BY 1 LIMIT 12""")
+def a12_first(spark, sf):
+    return C.select_timestamps(stamped(spark, sf), "2024-01-05", limit=12)
+
+
 @query("a13_pending_timestamps", """
 SELECT DISTINCT strftime(video_ts, '%Y-%m-%d-%H-%M-%S') AS video_timestamp FROM t_ratings
 WHERE isodow(video_ts) >= 6""")
