@@ -115,8 +115,8 @@ def close_keys(prints: DataFrame) -> DataFrame:
     return prints.select("fingerprint").mapInPandas(run, "fingerprint long, key long")
 
 
-def wide_keys(prints: DataFrame) -> DataFrame:
-    """(fingerprint, key, texts): of fingerprints with at most two errors in at least two segments, some key is shared.
+def wide_keys(prints: DataFrame, carry: str) -> DataFrame:
+    """(fingerprint, key, int column `carry` of `prints`): of fingerprints with at most two errors in at least two segments, some key is shared.
 
     That holds within five bits, and for most pairs of up to eight. A key is the Golay indices of two segments: up to 36 a pair.
     """
@@ -130,9 +130,9 @@ def wide_keys(prints: DataFrame) -> DataFrame:
                 key = (n << 24) | (index[i][:, :, None] << 12) | index[j][:, None, :]
                 fits = (index[i][:, :, None] >= 0) & (index[j][:, None, :] >= 0)
                 row = np.nonzero(fits)[0]
-                yield pd.DataFrame({"fingerprint": values[row], "key": key[fits], "texts": frame["texts"].to_numpy()[row]})
+                yield pd.DataFrame({"fingerprint": values[row], "key": key[fits], carry: frame[carry].to_numpy()[row]})
 
-    return prints.select("fingerprint", "texts").mapInPandas(run, "fingerprint long, key long, texts int")
+    return prints.select("fingerprint", carry).mapInPandas(run, f"fingerprint long, key long, {carry} int")
 
 
 def _neighbours(prints: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyratory.functions.ordered import checked_broadcast
 from gyratory.llm.bitmaps import with_bit
 from gyratory.llm.blocks import as_bytes
 from gyratory.llm.components import components
@@ -128,15 +129,16 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: in
     classes = materialise(classes.select(F.col("a").alias("node"), "b", "first.doc_id", "first.row_hash", "fingerprint"))
     # a fingerprint counts as many times as it has classes, so that a bucket's size bounds its pairs of texts
     prints = materialise(classes.groupBy("fingerprint").agg(F.count(F.lit(1)).cast("int").alias("texts")))
-    keys = wide_keys(prints).repartition("key")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("texts").alias("weight")).filter("weight > 1")
-    keys = materialise(keys.join(sizes, "key").drop("texts"))
+    # the keys are made anew for each use: they are many times the fingerprints, so only the last use, the join, deals them out
+    buckets = wide_keys(prints, "texts").groupBy("key").agg(F.sum("texts").alias("weight")).filter(F.col("weight") > crowd)
+    buckets = checked_broadcast(materialise(buckets.select("key")))
     # members of full buckets; the bitmap may add a few others, which then count as members everywhere
-    full = materialise(keys.filter(F.col("weight") > crowd).select("fingerprint").distinct().withColumn("h", F.xxhash64("fingerprint")))
-    small = keys.filter(F.col("weight") <= crowd).select("key", "fingerprint", F.xxhash64("fingerprint").alias("h"))
-    small = with_bit(small, "h", full, "h").select("key", "fingerprint", "_bit")
+    full = wide_keys(prints, "texts").join(buckets, "key").select("fingerprint").distinct()
+    full = materialise(full.withColumn("h", F.xxhash64("fingerprint")))
+    marked = with_bit(prints.withColumn("h", F.xxhash64("fingerprint")), "h", full, "h").select("fingerprint", F.col("_bit").cast("int").alias("full"))
+    small = wide_keys(marked, "full").join(buckets, "key", "left_anti")
     x, y = small.alias("x"), small.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.fingerprint") <= F.col("y.fingerprint")) & F.expr(f"NOT (x._bit AND y._bit) AND bit_count(x.fingerprint ^ y.fingerprint) <= {APART}")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.fingerprint") <= F.col("y.fingerprint")) & F.expr(f"x.full + y.full < 2 AND bit_count(x.fingerprint ^ y.fingerprint) <= {APART}")
     met = x.join(y, near).select(F.col("x.fingerprint").alias("p"), F.col("y.fingerprint").alias("q"))
     met = met.distinct()
     one = classes.select(F.col("fingerprint").alias("p"), F.col("node").alias("x"))
