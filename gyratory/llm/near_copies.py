@@ -61,7 +61,11 @@ def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of `pairs` (x, y), those whose sets have a Jaccard similarity of `least` or more."""
+    """Of `pairs` (x, y), those whose sets have a Jaccard similarity of `least` or more. Sets travel only where their sizes allow that."""
+    sizes = sets.select("node", F.size("set").alias("n"))
+    one, other = sizes.toDF("x", "x_n"), sizes.toDF("y", "y_n")
+    fits = F.least("x_n", "y_n") >= F.lit(least - 1e-9) * F.greatest("x_n", "y_n")
+    pairs = pairs.join(one, "x").join(other, "y").filter(fits).select("x", "y")
     left = sets.select(F.col("node").alias("x"), F.col("set").alias("x_set"))
     right = sets.select(F.col("node").alias("y"), F.col("set").alias("y_set"))
     both = pairs.join(left, "x").join(right, "y")
