@@ -19,6 +19,8 @@ from gyratory.session import materialise
 
 #: Fingerprints that differ by more bits are not compared further. Two keys of three hold up to five errors and most of eight.
 APART = 11
+#: Classes of shingle hashes (a power of two) whose counts bound the overlap of two sets.
+CLASSES = 64
 
 
 def _hash_of(text: str) -> Column:
@@ -44,7 +46,7 @@ def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, set): distinct 64-bit hashes of the shingles of each text, sorted."""
+    """(node, set, counts): distinct 64-bit hashes of the shingles of each text, sorted, and how many of them fall in each class by their low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,16 +57,21 @@ def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
                 sets.append(np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64)))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "set"])
+            counts = pa.array([np.bincount(s & (CLASSES - 1), minlength=CLASSES) for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), flat), counts], names=["node", "set", "counts"])
 
-    return texts.mapInArrow(run, "node long, set array<long>")
+    return texts.mapInArrow(run, "node long, set array<long>, counts array<int>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of `pairs` (x, y), those whose sets have a Jaccard similarity of `least` or more. Sets travel only where their sizes allow that."""
-    sizes = sets.select("node", F.size("set").alias("n"))
-    one, other = sizes.toDF("x", "x_n"), sizes.toDF("y", "y_n")
-    fits = F.least("x_n", "y_n") >= F.lit(least - 1e-9) * F.greatest("x_n", "y_n")
+    """Of `pairs` (x, y), those whose sets have a Jaccard similarity of `least` or more.
+
+    Sets travel only where their counts by hash class leave room for the overlap that the similarity asks for.
+    """
+    counted = sets.select("node", F.size("set").alias("n"), "counts")
+    one, other = counted.toDF("x", "x_n", "x_counts"), counted.toDF("y", "y_n", "y_counts")
+    most = F.aggregate(F.zip_with("x_counts", "y_counts", lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n)
+    fits = most >= F.lit(least / (1 + least)) * (F.col("x_n") + F.col("y_n")) - 1e-6
     pairs = pairs.join(one, "x").join(other, "y").filter(fits).select("x", "y")
     left = sets.select(F.col("node").alias("x"), F.col("set").alias("x_set"))
     right = sets.select(F.col("node").alias("y"), F.col("set").alias("y_set"))
