@@ -1,4 +1,4 @@
-"""Near copies: SimHash fingerprints meet by Golay keys, and pairs are verified by the Jaccard similarity of their word shingles."""
+"""Near copies: SimHash fingerprints meet by Golay keys, an exact prefix filter adds what they miss, and pairs are verified by the Jaccard similarity of their word shingles."""
 
 from __future__ import annotations
 
@@ -10,17 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyratory.functions.ordered import checked_broadcast
 from gyratory.llm.bitmaps import with_bit
 from gyratory.llm.blocks import as_bytes
 from gyratory.llm.components import components
-from gyratory.llm.golay_simhash import simhash, wide_keys
+from gyratory.llm.golay_simhash import close_links, simhash
 from gyratory.session import materialise
 
-#: Fingerprints that differ by more bits are not compared further. Two keys of three hold up to five errors and most of eight.
-APART = 11
 #: Classes of shingle hashes (a power of two) whose counts bound the overlap of two sets.
 CLASSES = 64
+#: Classes of shingle hashes (a power of two) in which common shingles are counted, one text of SAMPLE, and how many classes may be told as common.
+COMMON, SAMPLE, MOST_COMMON = 1 << 20, 4, 1 << 16
 
 
 def _hash_of(text: str) -> Column:
@@ -45,16 +44,19 @@ def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, row_hash long, a long, b long, fingerprint long")
 
 
+def _set_of(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text, sorted."""
+    words = text.lower().split()
+    found = {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+
+
 def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, set, counts): distinct 64-bit hashes of the shingles of each text, sorted, and how many of them fall in each class by their low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for t in as_bytes(batch.column("text")):
-                words = t.lower().split()
-                found = {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-                sets.append(np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64)))
+            sets = [_set_of(t, shingle) for t in as_bytes(batch.column("text"))]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             counts = pa.array([np.bincount(s & (CLASSES - 1), minlength=CLASSES) for s in sets], pa.list_(pa.int32()))
@@ -81,31 +83,73 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.filter(shared >= F.lit(least) * whole).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _ordered(sets: DataFrame) -> DataFrame:
-    """(node, n, at, shingle, rare) of the members of crowds: shingles in order of their frequency among them, with their positions."""
-    each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    ranked = each.join(often, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("often", "shingle"))).alias("list"))
-    rare = F.size(F.filter("list", lambda s: s["often"] <= 2)) / F.col("n")
-    ranked = ranked.withColumn("rare", rare)
-    return ranked.select("node", "n", "rare", F.posexplode(F.slice("list", 1, F.col("n"))).alias("at", "s")).select("node", "n", "rare", "at", F.col("s.shingle").alias("shingle"))
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the commonest shingles, sorted, and their counts over one text of SAMPLE: only an order, so any sample gives the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COMMON, np.int64)
+        for batch in batches:
+            for t in as_bytes(batch.column("text")):
+                counts += 0 if (at := _set_of(t, shingle) & (COMMON - 1)).size == 0 else np.bincount(at, minlength=COMMON)
+        used = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["class", "n"])
+
+    sampled = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sampled.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = counts.orderBy(F.desc("n"), "class").limit(MOST_COMMON).toPandas().sort_values("class")
+    return found["class"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
 
+def _prefixes(texts: DataFrame, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(node, n, probe, at, index, shingle): the first shingles of each text, the common ones last, with their positions.
 
-def _crowd_links(sets: DataFrame, least: float) -> DataFrame:
-    """Links that connect the similar members of crowds, exactly, by the prefix filter.
+    Of two sets as similar as `least` the smaller has a common shingle among its first n - 2t/(1+t) n (`index`), the larger among its first n - t n.
+    """
+    classes, counts = common
 
-    Sets as similar as `least` share one of the rarest shingles of both. Members of a shingle's bucket are first verified against its most
-    ordinary member. What that joins is one component; only buckets that still hold several are compared in full, between components.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for t in as_bytes(batch.column("text")):
+                own = _set_of(t, shingle)
+                n = len(own)
+                if not n:
+                    continue
+                often = np.zeros(n, np.int64)
+                if len(classes):
+                    at = np.minimum(np.searchsorted(classes, own & (COMMON - 1)), len(classes) - 1)
+                    often = np.where(classes[at] == own & (COMMON - 1), counts[at], 0)
+                probe = n - int(np.ceil(least * n - 1e-9)) + 1
+                index = n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1
+                first = own[np.lexsort((own, often))[:probe]]
+                node = int.from_bytes(xxhash.xxh3_128_digest(b" ".join(t.lower().split()))[:8], "little", signed=True)
+                k = len(first)
+                parts.append((np.full(k, node), np.full(k, n), np.full(k, k), np.arange(k), np.arange(k) < index, first))
+            if parts:
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                kinds = [np.int64, np.int32, np.int32, np.int32, bool, np.int64]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "probe", "at", "index", "shingle"])
+
+    return texts.select("text").mapInArrow(run, "node long, n int, probe int, at int, index boolean, shingle long")
+
+
+def _links(texts: DataFrame, classes: DataFrame, near: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links that connect all similar texts of `texts` (node, text: one of each class), exactly.
+
+    Pairs `near` (x, y) by fingerprint, and members of a shingle's bucket with its most ordinary member, are verified first. What that joins is one
+    component; only buckets that still hold several are compared in full, between components.
     """
-    # of two similar sets the smaller has a common shingle among its first n - 2t/(1+t) n, the larger among its first n - t n
-    index = F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9) + 1
-    probe = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    keys = _ordered(sets).withColumn("index", F.col("at") < index).filter(F.col("at") < probe)
-    keys = materialise(keys)
-    order = F.struct("rare", "node")
-    heads = keys.groupBy("shingle").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    stars = keys.join(heads, "shingle").filter("node <> head.node").select(F.col("head.node").alias("x"), F.col("node").alias("y")).distinct()
-    first = materialise(_similar(stars, sets, least))
+    keys = _prefixes(texts, shingle, least, _common(texts, shingle))
+    # made anew for both uses: most shingles are found once and go with this count
+    met = keys.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("shingle")
+    keys = materialise(keys.join(met, "shingle", "left_semi").distinct())
+    ordinary = keys.groupBy("node").agg((F.max("probe") - F.count(F.lit(1))).alias("alone"))
+    order = F.struct((F.col("alone") / F.col("probe")).alias("rare"), "node", "n")
+    heads = keys.join(ordinary, "node").groupBy("shingle").agg(F.min(order).alias("head"))
+    small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
+    stars = keys.join(heads, "shingle").filter(F.col("node") != F.col("head.node")).filter(small >= F.lit(least - 1e-9) * large)
+    stars = stars.select(F.least("node", "head.node").alias("x"), F.greatest("node", "head.node").alias("y"))
+    first = materialise(_verified(stars.union(near).distinct(), texts, classes, shingle, least))
     roots = components(first)
     named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "n", "at", "shingle", "index", "root")
     open_buckets = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
@@ -118,55 +162,51 @@ def _crowd_links(sets: DataFrame, least: float) -> DataFrame:
         # what is left of both from here on has to hold the overlap that the similarity asks for
         & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= F.lit(t) * (F.col("x_n") + F.col("y_n")) - 1e-6)
     )
-    rest = smaller.join(larger, fits).select("x", "y").distinct()
-    return first.union(_similar(rest, sets, least))
+    rest = smaller.join(larger, fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return first.union(_verified(rest, texts, classes, shingle, least))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of `pairs` (x, y), the similar ones. Sets are made of their texts only."""
+    pairs = materialise(pairs)
+    asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(classes.select("node", "doc_id", "row_hash"), "node")
+    asked = materialise(asked.withColumn("h", F.xxhash64("doc_id", "row_hash")))
+    body = with_bit(texts, "_h", asked, "h").filter("_bit")
+    found = body.join(asked, body["_id"].eqNullSafe(asked["doc_id"]) & (body["_hash"] == asked["row_hash"])).select("node", "text")
+    # rows that repeat doc_id and text would repeat their pairs
+    sets = materialise(_shingles(found, shingle).dropDuplicates(["node"]))
+    return _similar(pairs, sets, least)
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_hash, keep_id, keep_hash) of each document: the first (smallest doc_id) of its group.
 
     Two texts are linked when the sets of their `shingle`-word shingles (words end at ASCII white space, A-Z lower-cased; fewer words are one
-    shingle) have a Jaccard similarity of `least` or more and their fingerprints share a Golay key; chains of links make a group. Equal word sequences, those without
+    shingle) have a Jaccard similarity of `least` or more; chains of links make a group. Equal word sequences, those without
     words too, are one class from the start. Null texts are empty. A null doc_id is smaller than any other. Rows that repeat doc_id and text
     are one document. An empty table gives no rows.
 
-    Fingerprints are SimHashes of distinct words: a changed word moves one of them but five shingles, so what the verification accepts is found
-    within five bits of 64, where a key is always shared, or little over. Buckets of up to `crowd` texts are compared
-    pair by pair; members of larger ones go through an exact prefix filter instead. Shingles are made of candidates only.
+    Fingerprints are SimHashes of distinct words; those within two bits of each other meet by their Golay keys (`crowd` as in `close_links`).
+    All classes then go through an exact prefix filter, so that no pair depends on bits, keys or sizes of buckets: fingerprints only
+    join early what would be compared later.
     """
     rows = materialise(_prints(docs, doc_id, text))
     order = F.struct("doc_id", "row_hash")
     classes = rows.groupBy("a", "b").agg(F.min(order).alias("first"), F.min("fingerprint").alias("fingerprint"))
     classes = materialise(classes.select(F.col("a").alias("node"), "b", "first.doc_id", "first.row_hash", "fingerprint"))
-    # a fingerprint counts as many times as it has classes, so that a bucket's size bounds its pairs of texts
-    prints = materialise(classes.groupBy("fingerprint").agg(F.count(F.lit(1)).cast("int").alias("texts")))
-    # the keys are made anew for each use: they are many times the fingerprints, so only the last use, the join, deals them out
-    buckets = wide_keys(prints, "texts").groupBy("key").agg(F.sum("texts").alias("weight")).filter(F.col("weight") > crowd)
-    buckets = checked_broadcast(materialise(buckets.select("key")))
-    # members of full buckets; the bitmap may add a few others, which then count as members everywhere
-    full = wide_keys(prints, "texts").join(buckets, "key").select("fingerprint").distinct()
-    full = materialise(full.withColumn("h", F.xxhash64("fingerprint")))
-    marked = with_bit(prints.withColumn("h", F.xxhash64("fingerprint")), "h", full, "h").select("fingerprint", F.col("_bit").cast("int").alias("full"))
-    small = wide_keys(marked, "full").join(buckets, "key", "left_anti")
-    x, y = small.alias("x"), small.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.fingerprint") <= F.col("y.fingerprint")) & F.expr(f"x.full + y.full < 2 AND bit_count(x.fingerprint ^ y.fingerprint) <= {APART}")
-    met = x.join(y, near).select(F.col("x.fingerprint").alias("p"), F.col("y.fingerprint").alias("q"))
-    met = met.distinct()
-    one = classes.select(F.col("fingerprint").alias("p"), F.col("node").alias("x"))
-    other = classes.select(F.col("fingerprint").alias("q"), F.col("node").alias("y"))
-    pairs = materialise(met.join(one, "p").join(other, "q").filter((F.col("p") != F.col("q")) | (F.col("x") < F.col("y"))).select("x", "y"))
-    crowded = with_bit(classes.withColumn("h", F.xxhash64("fingerprint")), "h", full, "h").filter("_bit")
-    crowded = materialise(crowded.select("node"))
-    asked = (pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(crowded).distinct().join(classes.select("node", "doc_id", "row_hash"), "node"))
-    asked = materialise(asked.withColumn("h", F.xxhash64("doc_id", "row_hash")))
-    body = docs.select(F.col(doc_id).alias("_id"), _hash_of(text).alias("_hash"), F.col(text).alias("text"))
-    body = with_bit(body.withColumn("_h", F.xxhash64("_id", "_hash")), "_h", asked, "h").filter("_bit")
-    found = body.join(asked, body["_id"].eqNullSafe(asked["doc_id"]) & (body["_hash"] == asked["row_hash"])).select("node", "text")
-    sets = materialise(_shingles(found, shingle))
-    links = _similar(pairs, sets, least)
-    if not crowded.isEmpty():
-        links = links.union(_crowd_links(sets.join(crowded, "node", "left_semi"), least))
-    roots = components(links)
+    prints = materialise(classes.groupBy("fingerprint").agg(F.min("node").alias("least")))
+    meet = close_links(prints, crowd)
+    near = meet.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    same = classes.join(prints, "fingerprint").filter("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    # one text of each class: the other rows of a class are few and left out
+    firsts = classes.select(F.col("node").alias("a"), "b", F.col("doc_id").alias("_first"), F.col("row_hash").alias("_first_hash"))
+    copies = rows.join(firsts, ["a", "b"]).filter(~(F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("row_hash") == F.col("_first_hash"))))
+    copies = materialise(copies.select(F.col("doc_id").alias("c_id"), F.col("row_hash").alias("c_hash")).distinct().withColumn("h", F.xxhash64("c_id", "c_hash")))
+    body = docs.select(F.col(doc_id).alias("_id"), _hash_of(text).alias("_hash"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("_id", "_hash"))
+    marked = with_bit(body, "_h", copies, "h")
+    other = marked.filter("_bit").join(copies, F.col("_id").eqNullSafe(F.col("c_id")) & (F.col("_hash") == F.col("c_hash")), "left_anti")
+    texts = marked.filter("NOT _bit").union(other).drop("_bit")
+    roots = components(_links(texts, classes, near.union(same), shingle, least))
     named = materialise(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "b", "doc_id", "row_hash", "root"))
     heads = named.groupBy("root").agg(F.min(order).alias("head"))
     named = named.join(heads, "root").select(F.col("node").alias("a"), "b", F.col("head.doc_id").alias("keep_id"), F.col("head.row_hash").alias("keep_hash"))

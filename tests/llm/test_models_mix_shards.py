@@ -158,3 +158,36 @@ def test_near_copies_against_all_pairs(spark, crowd):
     kept = near_copies.first_of_each(odd_table(spark, texts), crowd=crowd)
     assert {r["doc_id"] for r in kept.collect()} == {k for k, v in root.items() if k == v}
     assert near_copies.first_of_each(odd_table(spark, [])).count() == 0
+
+
+def _roots(texts, least=0.8):
+    """Smallest id of each group, by all pairs."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in texts)}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and root[a] != root[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def _edited(seed, docs):
+    """Texts with one copy each that is truncated, appended to or changed in one block, most of them just over 0.8."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(docs):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        n, fresh = len(words), [f"f{rng.randrange(3000)}" for _ in range(400)]
+        copy = [words[: n - int(0.18 * n)], words + fresh[: int(0.2 * n)], words[: n // 2] + fresh[: int(0.09 * n)] + words[n // 2 + int(0.09 * n) :]][i % 3]
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [3, 256])
+def test_near_copies_edited_in_one_place(spark, crowd):
+    texts = _edited(6, 90)
+    want = _roots(texts)
+    got = {r["doc_id"]: r["keep_id"] for r in near_copies.near_groups(odd_table(spark, texts), crowd=crowd).collect()}
+    assert sum(k != v for k, v in want.items()) > 60
+    assert got == want
