@@ -9,6 +9,7 @@ from conftest import SF, odd_table
 from pyspark.sql import functions as F
 
 from gyratory.llm import kd_shards, near_copies, passage_quality, queries, raking, severity, token_spans
+from gyratory.llm.golay_simhash import simhash
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "é" * 5000), (5, "a b c d e f"), (5, "a b c d e f"), (None, "A b c d e f"), (6, "x " * 60_000), (7, "one\n\ntwo")]
 
@@ -191,3 +192,16 @@ def test_near_copies_edited_in_one_place(spark, crowd):
     got = {r["doc_id"]: r["keep_id"] for r in near_copies.near_groups(odd_table(spark, texts), crowd=crowd).collect()}
     assert sum(k != v for k, v in want.items()) > 60
     assert got == want
+
+
+def test_near_copies_of_many_bits(spark):
+    rng = random.Random(8)
+    texts, far = [], 0
+    while far < 6:
+        words = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        pair = [words, words[:50]]
+        bits = [simhash([w.encode() for w in x], 1, distinct=True) for x in pair]
+        if (bits[0] ^ bits[1]).bit_count() > 11:
+            texts += [(2 * far + i, " ".join(x)) for i, x in enumerate(pair)]
+            far += 1
+    assert {r["doc_id"]: r["keep_id"] for r in near_copies.near_groups(odd_table(spark, texts)).collect()} == {i: i - i % 2 for i, _ in texts}
