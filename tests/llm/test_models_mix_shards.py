@@ -205,3 +205,11 @@ def test_near_copies_of_many_bits(spark):
             texts += [(2 * far + i, " ".join(x)) for i, x in enumerate(pair)]
             far += 1
     assert {r["doc_id"]: r["keep_id"] for r in near_copies.near_groups(odd_table(spark, texts)).collect()} == {i: i - i % 2 for i, _ in texts}
+
+
+def test_unrelated_rows_change_no_group(spark):
+    texts = _edited(7, 30)
+    # texts of a few words share most bits with each other and with many fingerprints of the old rows
+    extra = [(1000 + i, f"{texts[i % 60][1]} {' '.join(f'x{i}_{k}' for k in range(len(texts[i % 60][1].split()) // 2))}") for i in range(240)]
+    small, large = ({r["doc_id"]: r["keep_id"] for r in near_copies.near_groups(odd_table(spark, rows), crowd=4).collect()} for rows in (texts, texts + extra))
+    assert {i: large[i] for i in small} == small == _roots(texts)
