@@ -214,12 +214,19 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: in
 
 
 def first_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that `near_groups` keeps, with their own columns. Only rows that may have to go meet the list of those that do."""
+    """The rows of `docs` that `near_groups` keeps, with their own columns; of rows that repeat doc_id and text one, by a hash of all columns.
+
+    Only rows that may have to go meet the list of those that do, and of those that repeat.
+    """
     groups = near_groups(docs, shingle, least, crowd, doc_id, text)
-    gone = groups.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))))
-    gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")))
-    named = docs.withColumn("_g_hash", _hash_of(text)).withColumn("_h", F.xxhash64(F.col(doc_id), F.col("_g_hash")))
-    named = with_bit(named, "_h", gone.withColumn("h", F.xxhash64("_id", "_hash")), "h")
-    stay = named.filter("NOT _bit")
-    tried = named.filter("_bit").join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_g_hash") == F.col("_hash")), "left_anti")
-    return stay.union(tried).select(*docs.columns)
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))
+    named = groups.groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.bool_and(first).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    named = materialise(named.filter("NOT _first OR _rows > 1").select("_id", "_hash", "_first"))
+    rows = docs.withColumn("_g_hash", _hash_of(text)).withColumn("_h", F.xxhash64(F.col(doc_id), F.col("_g_hash")))
+    rows = with_bit(rows, "_h", named.withColumn("h", F.xxhash64("_id", "_hash")), "h")
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_g_hash") == F.col("_hash"))
+    columns = [F.col(c) for c in docs.columns]
+    stay = rows.filter("NOT _bit").union(rows.filter("_bit").join(named.drop("_first"), same, "left_anti")).select(*docs.columns)
+    repeated = rows.filter("_bit").join(named.filter("_first").drop("_first"), same, "left_semi")
+    one = repeated.groupBy(F.col(doc_id), F.col("_g_hash")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")
+    return stay.union(one)

@@ -213,3 +213,12 @@ def test_unrelated_rows_change_no_group(spark):
     extra = [(1000 + i, f"{texts[i % 60][1]} {' '.join(f'x{i}_{k}' for k in range(len(texts[i % 60][1].split()) // 2))}") for i in range(240)]
     small, large = ({r["doc_id"]: r["keep_id"] for r in near_copies.near_groups(odd_table(spark, rows), crowd=4).collect()} for rows in (texts, texts + extra))
     assert {i: large[i] for i in small} == small == _roots(texts)
+
+
+def test_repeats_of_the_kept_row_go(spark):
+    texts = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "A b c d e f"), (2, "a b c d e f"), (None, "q"), (None, "q"), (3, None), (3, None), (3, "other words"), (3, "other words"), (4, "alone")]
+    table = odd_table(spark, texts)
+    kept = near_copies.first_of_each(table)
+    rows = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept.collect())
+    assert rows == [("1", "a b c d e f"), ("3", ""), ("3", "other words"), ("4", "alone"), ("None", "q")]
+    assert kept.columns == table.columns and kept.dtypes == table.dtypes
