@@ -222,3 +222,26 @@ def test_repeats_of_the_kept_row_go(spark):
     rows = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept.collect())
     assert rows == [("1", "a b c d e f"), ("3", ""), ("3", "other words"), ("4", "alone"), ("None", "q")]
     assert kept.columns == table.columns and kept.dtypes == table.dtypes
+
+
+def test_rake_hands_on_what_caps_cut_off(spark):
+    rng = random.Random(9)
+    topics = {"big": 20_000, "mid": 2_000, "scarce": 100}
+    cells = spark.createDataFrame([(s, t, round(n * rng.uniform(0.3, 2))) for s in "abcd" for t, n in topics.items()], "source string, topic string, tokens long")
+    targets = {"source": 0.7, "topic": {"scarce": 0.3, "mid": 0.2}}
+    for fraction in (0.3, 0.9):
+        raked = raking.rake(cells, targets, fraction)
+        got = raked.toPandas()
+        assert got.weight.sum() == pytest.approx(fraction * got.tokens.sum()) and (got.weight <= got.tokens + 1e-6).all()
+        told = raking.margins(raked, targets, fraction).toPandas().set_index(["axis", "value"])
+        assert (told.reached - told.feasible).abs().max() < 2e-3
+        assert told.target["topic", "scarce"] == pytest.approx(0.3) and told.feasible["topic", "scarce"] < 0.02
+        assert got[got.topic == "scarce"].weight.sum() == pytest.approx(got[got.topic == "scarce"].tokens.sum(), rel=0.1)
+        assert told.groupby("axis").feasible.sum().tolist() == pytest.approx([1, 1])
+    # cells that leave no solution: margins say so, and the total holds all the same
+    odd = spark.createDataFrame([("a", "x", 10), ("b", "y", 1000)], "source string, topic string, tokens long")
+    targets = {"source": {"a": 0.01, "b": 0.99}, "topic": {"x": 0.001, "y": 0.999}}
+    raked = raking.rake(odd, targets, 0.5, most=8)
+    assert raked.toPandas().weight.sum() == pytest.approx(505)
+    told = raking.margins(raked, targets, 0.5).toPandas()
+    assert (told.reached - told.target).abs().max() > 2e-3
