@@ -30,18 +30,19 @@ def topic_of(text: Column, markers: dict[str, list[str]], other: str = "other")
     return F.when(best["n"] > 0, best["topic"]).otherwise(other)
 
 
-def _shares(axis: str, target: float | dict[str, float]) -> Column:
+def _shares(axis: str, target: float | dict[str, float], named_tokens: float) -> Column:
     """Target share of a cell's value on an axis.
 
     A number is an exponent: shares in proportion to natural tokens to that power. A dict names shares; values that it does not name divide
-    the rest in proportion to their natural tokens; values that do not occur leave their share to all others.
+    the rest in proportion to their natural tokens, or keep their natural share where the named ones leave no rest (an empty or foreign name is
+    never dropped for not being named); values that do not occur leave their share to all others.
     """
     natural = F.col(f"n_{axis}")
     if not isinstance(target, dict):
         return F.pow(natural, F.lit(float(target)))
     named = F.create_map(*[F.lit(x) for item in target.items() for x in (item[0], float(item[1]))]) if target else None
     rest = max(0.0, 1.0 - sum(target.values()))
-    share = natural * F.lit(rest) / F.col(f"r_{axis}")
+    share = natural * F.lit(rest) / F.col(f"r_{axis}") if rest > 1e-9 else natural / F.lit(float(named_tokens) or 1.0)
     return share if named is None else F.when(F.col(axis).isin(list(target)), named[F.col(axis)]).otherwise(share)
 
 
@@ -74,7 +75,7 @@ def _aimed(cells: DataFrame, targets: dict[str, float | dict[str, float]], fract
         natural = cells.groupBy(axis).agg(F.sum("tokens").cast("double").alias(f"n_{axis}"))
         rest = total - (natural.filter(F.col(axis).isin(named)).agg(F.coalesce(F.sum(f"n_{axis}"), F.lit(0.0))).first()[0] if named else 0)
         natural = natural.withColumn(f"r_{axis}", F.lit(float(rest) or 1.0))
-        natural = natural.withColumn("share", _shares(axis, target))
+        natural = natural.withColumn("share", _shares(axis, target, total - rest))
         full = natural.agg(F.coalesce(F.sum("share"), F.lit(1.0))).first()[0] or 1.0
         natural = natural.select(axis, f"n_{axis}", (F.col("share") / F.lit(full)).alias(f"share_{axis}"))
         columns = [axis, f"share_{axis}"]

@@ -245,3 +245,13 @@ def test_rake_hands_on_what_caps_cut_off(spark):
     assert raked.toPandas().weight.sum() == pytest.approx(505)
     told = raking.margins(raked, targets, 0.5).toPandas()
     assert (told.reached - told.target).abs().max() > 2e-3
+
+
+@pytest.mark.parametrize("sweeps", [12, None])
+def test_unnamed_values_keep_a_chance(spark, sweeps):
+    names = ["en", "de", "fr", "es", None, "", "ja"]
+    docs = spark.createDataFrame([(i, "text " * 40, names[i % 7], None if i % 5 == 0 else "s1") for i in range(700)], "doc_id long, text string, lang string, source string")
+    rows = raking.mix_documents(docs, queries.MIX, 0.5, raking.topic_of(F.col("text"), queries.TOPICS), sweeps=sweeps).collect()
+    share = {la: sum(r["tokens"] * r["probability"] for r in rows if r["lang"] == la) / sum(r["tokens"] * r["probability"] for r in rows) for la in ("", "ja")}
+    assert len(rows) == 700 and all(r["probability"] > 0.1 for r in rows)
+    assert share == pytest.approx({"": 2 / 7, "ja": 1 / 7}, abs=0.02)
