@@ -21,7 +21,3 @@ def both_paths(request, spark):
         spark.conf.set(GROUP_ROWS_CONF, "3")
     yield request.param
     spark.conf.unset(GROUP_ROWS_CONF)
-
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from collected import rows
 from pyspark.sql import functions as F
 
 from gyratory.operators import labels as L

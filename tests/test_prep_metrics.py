@@ -1,7 +1,7 @@
 """Scalars, preparation, sequences, splits, metrics."""
 
 import pytest
-from conftest import rows
+from collected import rows
 from pyspark.sql import functions as F
 
 from gyratory.functions import scalars as B

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import rows
+from collected import rows
 from pyspark.sql import functions as F
 from test_zones_journeys import DET_DDL, ZONE_DDL, ZONES, det
 

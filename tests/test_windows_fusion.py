@@ -1,7 +1,7 @@
 """Window features, lags, fusion."""
 
 import pytest
-from conftest import rows
+from collected import rows
 from pyspark.sql import functions as F
 from test_zones_journeys import events
 

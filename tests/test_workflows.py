@@ -1,6 +1,6 @@
 """The end-to-end compositions on small inputs."""
 
-from conftest import rows
+from collected import rows
 from pyspark.sql import functions as F
 from test_zones_journeys import events
 

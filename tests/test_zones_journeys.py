@@ -1,7 +1,7 @@
 """Zone membership, zone events, journeys, visits."""
 
 import pytest
-from conftest import rows
+from collected import rows
 from pyspark.sql import functions as F
 
 from gyratory.operators import journeys as J
