@@ -2,17 +2,14 @@
 
 import hashlib
 import os
-import sys
 
 import numpy as np
 import pytest
+from odd_documents import SF, odd_table
 
 from gyratory.llm import exact_copies, line_index, queries, url_rules
 from tools.check import compare
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from conftest import SF, odd_table  # noqa: E402
-
 TEXTS = [(1, "Ab c"), (2, "aB C"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x" * 300_000), (8, "X" * 300_000), (9, "x" * 299_999 + "y"), (None, "ab c"), (10, "q"), (10, "q")]
 
 

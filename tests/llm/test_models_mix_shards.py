@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import SF, odd_table
+from odd_documents import SF, odd_table
 from pyspark.sql import functions as F
 
 from gyratory.llm import kd_shards, near_copies, passage_quality, queries, raking, severity, token_spans

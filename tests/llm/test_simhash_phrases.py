@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import odd_table
+from odd_documents import odd_table
 from pyspark.sql import functions as F
 
 from gyratory.llm import decontaminate, golay_simhash
