@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyratory.llm import decontaminate, exact_copies, golay_simhash, kd_shards, line_index, passage_quality, raking, samples, severity, token_spans, url_rules
+from gyratory.llm import decontaminate, exact_copies, golay_simhash, kd_shards, line_index, passage_quality, raking, samples, severity, token_alignment, token_spans, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = severity.severity(severity.fit_severity(docs, table(spark, sf_dir, "labels")), spark)
     scored = docs.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), score("text").alias("s"))
     return scored.select("doc_id", "held_out", "s.severity", "s.toxicity", "s.grade", (F.col("s.toxicity") >= severity.REJECT).alias("toxic"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
