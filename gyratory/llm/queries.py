@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyratory.llm import decontaminate, exact_copies, golay_simhash, kd_shards, line_index, passage_quality, raking, samples, severity, source_audit, token_alignment, token_spans, url_rules
+from gyratory.llm import decontaminate, exact_copies, golay_simhash, jaccard_join, kd_shards, line_index, passage_quality, raking, samples, severity, source_audit, token_alignment, token_spans, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +219,8 @@ _TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_jaccard_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
