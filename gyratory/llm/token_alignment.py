@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts that the quick encoder may not split like the file's own: letters added to Unicode of late, and runs that its pattern matcher cannot hold.
 _SLOW = re.compile(r"[^\x00-ԯ]|\s{1000}|\S{1000}")
-_PIECE = 1 << 22
+_PIECE = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,8 +41,7 @@ class ByteLevel:
     """
 
     def __init__(self, file: bytes):
-        self.own = Tokenizer.from_str(file.decode())
-        self.own.encode_special_tokens = True
+        self.file = file
         said = json.loads(file)
         model, letters = said["model"], byte_letters()
         special = {t["id"] for t in said.get("added_tokens", [])}
@@ -52,6 +53,12 @@ class ByteLevel:
         plain = {t: i for i, t in enumerate(self.tokens) if i not in special}
         self.quick = tiktoken.Encoding("aligned", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={}) if ordered else None
 
+    @cached_property
+    def own(self) -> Tokenizer:
+        made = Tokenizer.from_str(self.file.decode())
+        made.encode_special_tokens = True
+        return made
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.quick is None:
             return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,7 +129,7 @@ def _aligned(texts: list[bytes], one: ByteLevel, two: Pieces, lengths: list[np.n
 
     def flat(lists: list[list[int]], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         own = [lists[k] for k in sound]
-        ids = np.fromiter((t for x in own for t in x), np.int64)
+        ids = np.fromiter(chain.from_iterable(own), np.int64, sum(map(len, own)))
         doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
         ends = np.cumsum(of[ids])
         return ids, doc, ends - of[ids], ends
