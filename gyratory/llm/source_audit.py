@@ -6,7 +6,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -113,35 +112,39 @@ def kept_terms(rows: DataFrame, min_docs: int) -> DataFrame:
 def build_shards(kept: DataFrame, shards: int) -> DataFrame:
     """(shard, size, index): the serialised `TermShard` of each shard of the keys of `kept`."""
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        made = TermShard.build([_key(lang, term.encode()) for lang, term in zip(rows["lang"], rows["term"], strict=True)]).to_bytes()
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "size": [len(made)], "index": [made]})
+    def build(rows: pa.Table) -> pa.Table:
+        made = TermShard.build(_keys_of(rows)).to_bytes()
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "size": [len(made)], "index": pa.array([made], pa.binary())})
 
-    return _dealt(kept, shards).groupBy("shard").applyInPandas(build, "shard int, size long, index binary")
+    return _dealt(kept, shards).groupBy("shard").applyInArrow(build, "shard int, size long, index binary")
+
+
+def _keys_of(rows: pa.Table | pa.RecordBatch) -> list[bytes]:
+    return [_key(lang, term) for lang, term in zip(rows.column("lang").to_pylist(), as_bytes(rows.column("term")), strict=True)]
 
 
 def _dealt(kept: DataFrame, shards: int) -> DataFrame:
     """`kept` with the shard of each key, by the hash that probes use."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys = [_key(lang, term.encode()) for lang, term in zip(frame["lang"], frame["term"], strict=True)]
-            yield frame.assign(shard=_shard_of(TermShard.hashes(keys)[0], shards).astype(np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = _shard_of(TermShard.hashes(_keys_of(batch))[0], shards).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.select(["lang", "term"]).columns, pa.array(shard)], names=["lang", "term", "shard"])
 
-    return kept.mapInPandas(run, "lang string, term string, shard int")
+    return kept.mapInArrow(run, "lang string, term string, shard int")
 
 
 def slot_terms(index: DataFrame) -> DataFrame:
     """(slot, lang, term) of every key that the shards store; a slot names shard and place in it."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard, blob in zip(frame["shard"], frame["index"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("index").to_pylist(), strict=True):
                 parts = [k.rpartition(b"\0") for k in TermShard.from_bytes(blob).keys]
-                slot = (int(shard) << 32) + np.arange(len(parts))
-                yield pd.DataFrame({"slot": slot, "lang": [p[0].decode() for p in parts], "term": [p[2].decode() for p in parts]})
+                slot = pa.array((shard << 32) + np.arange(len(parts)))
+                yield pa.RecordBatch.from_arrays([slot, *(pa.array([p[i] for p in parts], pa.binary()).cast(pa.string()) for i in (0, 2))], names=["slot", "lang", "term"])
 
-    return index.select("shard", "index").mapInPandas(run, "slot long, lang string, term string")
+    return index.select("shard", "index").mapInArrow(run, "slot long, lang string, term string")
 
 
 def _slot_counts(rows: DataFrame, sent: Broadcast) -> DataFrame:
@@ -216,15 +219,16 @@ def _tile_sums(cells: DataFrame) -> DataFrame:
     met = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lang, _, low, high = key
-        names, source = np.unique(rows["source"].to_numpy(object), return_inverse=True)
-        there = rows["slot"].notna().to_numpy()
-        slots, term = np.unique(rows["slot"].to_numpy()[there].astype(np.int64), return_inverse=True)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        lang, _, low, high = (k.as_py() for k in key)
+        names, source = np.unique(np.array(rows.column("source").to_pylist(), object), return_inverse=True)
+        slot = rows.column("slot")
+        there = slot.is_valid().to_numpy()
+        slots, term = np.unique(slot.drop_null().to_numpy(), return_inverse=True)
         zero, tile = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        zero[source], tile[source] = rows["p0"].to_numpy(), rows["tile"].to_numpy()
+        zero[source], tile[source] = rows.column("p0").to_numpy(), rows.column("tile").to_numpy()
         p = np.repeat(zero[:, None], len(slots), axis=1)
-        p[source[there], term] = rows["p"].to_numpy()[there].astype(np.int64)
+        p[source[there], term] = rows.column("p").drop_null().to_numpy()
         g, h, value = [], [], []
         for i in range(len(names)):
             # pairs of two tiles once, those inside a tile where it meets itself
@@ -234,9 +238,9 @@ def _tile_sums(cells: DataFrame) -> DataFrame:
             h.append(to)
             value.append(np.abs(p[to] - p[i]).sum(axis=1) - len(slots) * np.abs(zero[to] - zero[i]))
         g, h = np.concatenate(g), np.concatenate(h)
-        return pd.DataFrame({"lang": [lang] * len(g), "g": names[g], "h": names[h], "value": np.concatenate(value)})
+        return pa.table({"lang": pa.array([lang] * len(g), pa.string()), "g": pa.array(names[g].tolist(), pa.string()), "h": pa.array(names[h].tolist(), pa.string()), "value": pa.array(np.concatenate(value), pa.int64())})
 
-    return met.groupBy("lang", "block", "low", "high").applyInPandas(run, "lang string, g string, h string, value long").groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
+    return met.groupBy("lang", "block", "low", "high").applyInArrow(run, "lang string, g string, h string, value long").groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
 
 
 def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, smooth: int = 5, shard_keys: int = 50_000, room: int = 64 << 20, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
