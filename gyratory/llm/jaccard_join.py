@@ -24,8 +24,8 @@ from gyratory.session import materialise
 STEP = Fraction(8, 5)
 #: Shingles to a coordinate of a point, about, and members of a leaf and of a tile of the tree.
 FILL, LEAF, TILE = 8, 32, 512
-#: Keys that may be dealt over several tasks, the commonest of one row of SAMPLE, and tasks that each of them is dealt over.
-HOT, SAMPLE, SALTS = 4096, 32, 64
+#: Keys that may be dealt over several tasks, the commonest of one row of SAMPLE with at least HOT_ROWS there, and tasks that each of them is dealt over.
+HOT, SAMPLE, HOT_ROWS, SALTS = 4096, 32, 100, 64
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN = 1 << 19
 
@@ -242,7 +242,7 @@ def _buckets(docs: DataFrame, size: int, rule: Similarity, text: str) -> DataFra
     One shuffle of the keys; a sorted partition is read as a stream, so sets that are alone with a key go at once. Hot keys are met in SALTS parts.
     """
     sampled = docs.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
-    counts = _keys(sampled, size, rule, text, None).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 100")
+    counts = _keys(sampled, size, rule, text, None).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS)
     hot = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "key").limit(HOT).collect()], np.int64).view(np.uint64))
     sent = docs.sparkSession.sparkContext.broadcast(hot)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
