@@ -27,33 +27,48 @@ def by_direction(windows: DataFrame) -> DataFrame:
     return windows.withColumn("direction", F.explode(F.array(*[F.lit(d) for d in DIRECTIONS])))
 
 
-def _buckets(start: str, end: str, width: int) -> Column:
-    """Every time bucket that [start, end) touches."""
+def _nodes(start: str, end: str, size: Column) -> Column:
+    """Every node of that size, in microseconds, that [start, end) touches."""
+    first = F.floor(F.unix_micros(start) / size)
+    return F.explode(F.sequence(first, F.greatest(first, F.floor((F.unix_micros(end) - 1) / size))))
+
+
+def interval_nodes(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """`intervals` with `_level` and `_node`: one or two rows of each.
+
+    Nodes of a level are width * 2^level seconds long. An interval lies in the lowest level whose nodes are no shorter than itself, so it touches
+    two of them at most, whatever its length.
+    """
     micros = width * 1_000_000
-    first = F.floor(F.unix_micros(start) / micros)
-    last = F.floor((F.unix_micros(end) - 1) / micros)
-    return F.explode(F.sequence(first, F.greatest(first, last)))
+    length = (F.unix_micros(end) - F.unix_micros(start)) / micros
+    leveled = intervals.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0))))).cast("int"))
+    return leveled.withColumn("_node", _nodes(start, end, _size(width)))
+
+
+def _size(width: int) -> Column:
+    return F.call_function("shiftleft", F.lit(width * 1_000_000).cast("long"), F.col("_level"))
 
 
 def overlap_join(windows: DataFrame, labels: DataFrame, width: int, how: str = "left") -> DataFrame:
     """windows and labels of the same direction whose half-open intervals intersect.
 
-    Both sides are cut into time buckets, so the join is an equi-join on (direction, bucket) with the exact
-    overlap test as a filter. A pair that shares several buckets is kept only in the first one both sides
-    touch. The pairs come from an inner join, which adaptive execution may split where a bucket is hot.
+    Labels lie in one or two nodes of a dyadic tree over time. A window looks its own nodes up in every level that has labels, at most one for each
+    doubling of the longest label. So the join is an equi-join on (direction, level, node) with the exact overlap test as a filter, and a pair
+    that shares two nodes is kept only in the first one both sides touch. The pairs come from an inner join, which adaptive execution may split
+    where a node is hot.
     """
-    w = windows.withColumn("_bucket", _buckets("window_start", "window_end", width))
-    lab = labels.withColumn("_bucket", _buckets("datetime_start", "datetime_end", width))
-    start = F.greatest(
-        F.floor(F.unix_micros("window_start") / (width * 1_000_000)),
-        F.floor(F.unix_micros("datetime_start") / (width * 1_000_000)),
-    )
+    lab = interval_nodes(labels, "datetime_start", "datetime_end", width)
+    # one array of at most 64 levels
+    levels = lab.agg(F.array_sort(F.collect_set("_level")).alias("levels")).scalar()
+    w = windows.withColumn("_levels", levels).withColumn("_level", F.explode("_levels")).drop("_levels")
+    w = w.withColumn("_node", _nodes("window_start", "window_end", _size(width)))
+    first = F.greatest(F.floor(F.unix_micros("window_start") / _size(width)), F.floor(F.unix_micros("datetime_start") / _size(width)))
     shared = [c for c in labels.columns if c in windows.columns and c != "direction"]
     pairs = (
-        w.join(lab.drop(*shared), ["direction", "_bucket"])
+        w.join(lab.drop(*shared), ["direction", "_level", "_node"])
         .filter((F.col("datetime_start") < F.col("window_end")) & (F.col("datetime_end") > F.col("window_start")))
-        .filter(F.col("_bucket") == start)
-        .drop("_bucket")
+        .filter(F.col("_node") == first)
+        .drop("_level", "_node")
     )
     if how == "inner":
         return pairs

@@ -1,5 +1,8 @@
 """Zone membership, zone events, journeys, visits."""
 
+import math
+import random
+
 import pytest
 from collected import rows
 from pyspark.sql import functions as F
@@ -104,3 +107,41 @@ def test_visits_keep_unpaired_sides(spark, both_paths):
         (2, None, 4.0, None)]
     d = {r.zone_name: r for r in V.dwell_stats(V.zone_visits(ev)).collect()}
     assert (d["exit"].dwell_mean, d["exit"].dwell_count, d["exit"].dwell_std) == (3.0, 1, None)
+
+
+def even_odd(polygon, x, y):
+    odd = False
+    for (xa, ya), (xb, yb) in zip(polygon, polygon[1:] + polygon[:1]):
+        if (ya > y) != (yb > y) and x < xa + (xb - xa) * (y - ya) / (yb - ya):
+            odd = not odd
+    return odd
+
+
+def test_grid_cells_equal_the_edges(spark):
+    rng = random.Random(8)
+    zones, points = [], []
+    for camera in (1, 2, 3):
+        for name in ("enter", "exit", "ring"):
+            n = rng.choice([3, 4, 40, 1000])
+            cx, cy, size = rng.uniform(0, 500), rng.uniform(0, 500), rng.uniform(1, 300)
+            corners = [[cx + math.cos(2 * math.pi * i / n) * (r := size * rng.uniform(0.3, 1)), cy + math.sin(2 * math.pi * i / n) * r] for i in range(n)]
+            zones.append((camera, name, corners))
+            points += [(camera, *rng.choice(corners)) for _ in range(30)]
+        zones.append((camera, "box", [[0.0, 0.0], [512.0, 0.0], [512.0, 256.0], [0.0, 256.0]]))
+        points += [(camera, x, y) for x in (0.0, 16.0, 511.999, 512.0, 513.0) for y in (0.0, 8.0, 255.9, 256.0, -1.0)]
+        points += [(camera, rng.uniform(-100, 700), rng.uniform(-100, 700)) for _ in range(1500)]
+    zones.append((7, "flat", [[1.0, 1.0], [5.0, 1.0], [3.0, 1.0]]))
+    points.append((7, 2.0, 1.0))
+    d = spark.createDataFrame([det(i, 1, x, y, c) for i, (c, x, y) in enumerate(points)], DET_DDL)
+    # the anchor is computed from the box, as the operator does
+    where = {r["tracker_id"]: ((r["x1"] + r["x2"]) / 2, r["y2"]) for r in d.collect()}
+    got = {r["tracker_id"]: r["zones"] for r in Z.zones_of_detections(d, spark.createDataFrame(zones, ZONE_DDL)).collect()}
+    for i, (camera, _, _) in enumerate(points):
+        assert got[i] == sorted(n for c, n, p in zones if c == camera and even_odd(p, *where[i])), points[i]
+
+
+def test_border_cells_hold_few_edges(spark):
+    corners = [[math.cos(i / 1000 * 2 * math.pi) * 100, math.sin(i / 1000 * 2 * math.pi) * 100] for i in range(1000)]
+    cells = Z.grid_cells(spark.createDataFrame([(1, "ring", corners)], ZONE_DDL))[1]
+    most, inside = cells.agg(F.max(F.size(F.get("border", 0)["edges"])), F.count_if(F.size("inside") > 0)).first()
+    assert most < 150 and inside > 500
