@@ -92,16 +92,17 @@ def fit_bins(df: DataFrame, features: Sequence[str], bins: int = 32) -> Bins:
 
 @dataclass
 class Trees:
-    """Trees of one round, one of each class, as complete binary trees: feature (-1: leaf), last bin of the left side, value."""
+    """Trees of one round, one of each class, as complete binary trees: feature (-1: leaf), last bin of the left side, value; `gain` is that of the first split."""
 
     feature: np.ndarray
     bin: np.ndarray
     value: np.ndarray
+    gain: np.ndarray
 
     @classmethod
     def empty(cls, classes: int, depth: int) -> Trees:
         inner, whole = (1 << depth) - 1, (1 << depth + 1) - 1
-        return cls(np.full((classes, inner), -1, np.int32), np.zeros((classes, inner), np.int32), np.zeros((classes, whole)))
+        return cls(np.full((classes, inner), -1, np.int32), np.zeros((classes, inner), np.int32), np.zeros((classes, whole)), np.zeros(classes))
 
     def nodes(self, x: np.ndarray, tree: int, depth: int) -> np.ndarray:
         """Node that each row of the binned `x` (feature, row) reaches within `depth` steps."""
@@ -205,6 +206,7 @@ def grow(
                 left = histogram[node, f, : b + 1].sum(axis=0)
                 trees.value[k, 2 * at + 1], trees.value[k, 2 * at + 2] = value(left), value(histogram[node, f].sum(axis=0) - left)
                 gains[f] += gain[node]
+                trees.gain[k] += gain[node] if level == 0 else 0.0
                 split = True
         if not split:
             break
@@ -342,3 +344,10 @@ def _histograms(state: DataFrame, columns: Sequence[str], targets: Callable, tre
     for slot, sums in parts.collect():
         out[slot] += np.frombuffer(sums, np.int64).reshape(size, channels)
     return out.reshape(count, nodes, features, bins, channels)
+
+
+def root_splits(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 32) -> list[tuple[int, str, int, float]]:
+    """(class, feature, last bin of the left side, gain) of the first split of every class when all rows count: what a fit starts with."""
+    model = fit_booster(df, features, label, rounds=1, depth=1, subsample=1.0, bins=bins)
+    trees = model.rounds[0]
+    return [(c, model.bins.features[trees.feature[k, 0]], int(trees.bin[k, 0]), float(trees.gain[k])) for k, c in enumerate(model.classes) if trees.feature[k, 0] >= 0]

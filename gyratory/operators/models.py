@@ -1,24 +1,24 @@
-"""Classifiers on the forecasting table (H16-H20), all from Spark ML."""
+"""Classifiers on the forecasting table (H16-H20): forests and perceptrons of Spark ML, the booster and the balanced ensembles of this library."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyratory.functions.ordered import checked_broadcast
+from gyratory.operators.boosting import Booster, fit_booster
+from gyratory.operators.ensembles import Ensemble
 from gyratory.operators.metrics import class_weights, confusion_matrix, per_class_prf, summary_scores
 
 LABEL, WEIGHT = "label", "weight"
 
-CATEGORIES = {"random_forest": "Random Forest", "boosted_trees": "Gradient Boosting", "mlp": "Neural Network"}
+CATEGORIES = {"random_forest": "Random Forest", "boosted_trees": "Gradient Boosting", "mlp": "Neural Network", "balanced_bag": "Bagging", "balanced_boost": "Boosting with Sampling"}
 
 
 def with_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -43,15 +43,11 @@ def train_random_forest(
 
 
 def train_boosted_trees(
-    df: DataFrame, features: Sequence[str], rounds: int = 200, depth: int = 5, rate: float = 0.1,
-    subsample: float = 0.8, seed: int = 42,
-) -> PipelineModel:
-    """Boosting is binary in Spark, so one model per class against the rest."""
-    trees = GBTClassifier(
-        labelCol=LABEL, featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample,
-        seed=seed,
-    )
-    return Pipeline(stages=[_assembled(features), OneVsRest(classifier=trees, labelCol=LABEL)]).fit(df)
+    df: DataFrame, features: Sequence[str], rounds: int = 200, depth: int = 5, rate: float = 0.1, subsample: float = 0.8,
+    weights: dict[int, float] | None = None, seed: int = 42,
+) -> Booster:
+    """One softmax booster over all classes, balanced class weights unless others are given."""
+    return fit_booster(df, features, LABEL, weights, rounds, depth, rate, subsample, seed=seed)
 
 
 def train_mlp(
@@ -65,36 +61,31 @@ def train_mlp(
     return Pipeline(stages=[_assembled(features), scaler, net]).fit(df)
 
 
-def predict(model: PipelineModel, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def probabilities(model: PipelineModel | Booster | Ensemble, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, probs, y_pred) of any model: its class probabilities and the likeliest class."""
+    if not isinstance(model, PipelineModel):
+        return model.probabilities(df, keys)
+    out = model.transform(df)
+    return out.select(*keys, vector_to_array("probability").alias("probs"), F.col("prediction").cast("int").alias("y_pred"))
+
+
+def predict(model: PipelineModel | Booster | Ensemble, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Predicted class per row, with the true class."""
-    return model.transform(df).select(
-        *keys, F.col(LABEL).cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")
-    )
+    rows = df.withColumn("y_true", F.col(LABEL).cast("int"))
+    return probabilities(model, rows, [*keys, "y_true"]).select(*keys, "y_true", "y_pred")
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: PipelineModel | Booster | Ensemble, df: DataFrame) -> DataFrame:
     """H4 and H5 of a model, as one row."""
     scores = summary_scores(per_class_prf(confusion_matrix(predict(model, df, []))))
     return scores.withColumn("score", 0.7 * F.col("macro_f1") + 0.3 * F.col("accuracy"))
 
 
-def compare_models(train: DataFrame, valid: DataFrame, trainers: dict[str, Callable[[DataFrame], PipelineModel]]) -> DataFrame:
-    """Fit each, score on the validation rows, rank; a model that fails is left out.
-
-    One row per model reaches the driver.
-    """
-    rows = []
-    for name, fit in trainers.items():
-        started = time.time()
-        try:
-            result = score(fit(train), valid).first()
-        except Exception as error:  # noqa: BLE001 - a broken candidate must not stop the comparison
-            print(f"{name} skipped: {error}")
-            continue
-        rows.append((name, CATEGORIES.get(name, "Other"), *[float(v) for v in result], time.time() - started))
-    schema = ("model string, category string, macro_f1 double, weighted_f1 double, accuracy double, "
-              "balanced_accuracy double, score double, seconds double")
-    return train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("score"))
+def compare_models(train: DataFrame, valid: DataFrame, trainers: dict[str, Callable[[DataFrame], PipelineModel | Booster | Ensemble]]) -> DataFrame:
+    """Fit each, score on the validation rows, rank. One row per model reaches the driver; a model that fails ends the comparison."""
+    rows = [(name, CATEGORIES.get(name, "Other"), *[float(v) for v in score(fit(train), valid).first()]) for name, fit in trainers.items()]
+    schema = "model string, category string, macro_f1 double, weighted_f1 double, accuracy double, balanced_accuracy double, score double"
+    return train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("score"), "model")
 
 
 def category_stats(results: DataFrame) -> DataFrame:
@@ -105,8 +96,8 @@ def category_stats(results: DataFrame) -> DataFrame:
     )
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:
+def feature_importance(model: PipelineModel | Booster, features: Sequence[str], top: int | None = None) -> DataFrame:
     """Importances of a tree ensemble, largest first."""
-    values = model.stages[-1].featureImportances.toArray()
-    rows = sorted(zip(features, map(float, values)), key=lambda r: (-r[1], r[0]))[:top]
+    found = model.importance() if isinstance(model, Booster) else zip(features, map(float, model.stages[-1].featureImportances.toArray()))
+    rows = sorted(found, key=lambda r: (-r[1], r[0]))[:top]
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")

@@ -93,6 +93,13 @@ TOTALS = ["total_entry_count", "total_exit_count", "total_entry_flow_rate", "tot
 TOTAL_INTS = {"total_entry_count", "total_exit_count"}
 
 
+_OPPOSITE = ["NS_entry_diff", "NS_entry_balance", "EW_entry_diff", "EW_entry_balance"]
+_DIRECTIONAL = ["NS_total_entry", "EW_total_entry", "NS_EW_imbalance", "NS_through_flow", "EW_through_flow", "speed_range"]
+_IMBALANCE = ["entry_flow_imbalance", "entry_flow_variance", "exit_flow_imbalance", "occupancy_imbalance"]
+#: Every number of a fused window.
+FUSED = [*SPANS, *CALENDAR, *_MERGED, *_IMBALANCE, *TOTALS, "system_flow_balance", *_OPPOSITE, *_DIRECTIONAL, "cam1_cam3_entry_diff", "cam2_cam4_flow_ratio"]
+
+
 def _fused_query(name, names, ints=()):
     @query(name, f"SELECT video_ts, window_idx, {cols(names, ints)} FROM t_fused")
     def run(spark, sf):
@@ -101,10 +108,9 @@ def _fused_query(name, names, ints=()):
 
 _fused_query("e2_roundabout_totals", TOTALS, TOTAL_INTS)
 _fused_query("e3_system_flow_balance", ["system_flow_balance"])
-_fused_query("e4_imbalance", ["entry_flow_imbalance", "entry_flow_variance", "exit_flow_imbalance", "occupancy_imbalance"])
-_fused_query("e5_opposite_pairs", ["NS_entry_diff", "NS_entry_balance", "EW_entry_diff", "EW_entry_balance"])
-_fused_query("e6_directional", ["NS_total_entry", "EW_total_entry", "NS_EW_imbalance", "NS_through_flow",
-                                "EW_through_flow", "speed_range"])
+_fused_query("e4_imbalance", _IMBALANCE)
+_fused_query("e5_opposite_pairs", _OPPOSITE)
+_fused_query("e6_directional", _DIRECTIONAL)
 _fused_query("e9_camera_interactions", ["cam1_cam3_entry_diff", "cam2_cam4_flow_ratio"], {"cam1_cam3_entry_diff"})
 
 
