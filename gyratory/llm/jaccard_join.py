@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyratory.llm.bitmaps import with_bit
-from gyratory.llm.blocks import as_bytes, mixed
+from gyratory.llm.blocks import SOLID_BYTES, Words, as_bytes, cut, mixed
 from gyratory.llm.components import components
 from gyratory.session import materialise
 
@@ -26,29 +26,32 @@ STEP = Fraction(8, 5)
 FILL, LEAF, TILE = 8, 32, 512
 #: Keys that may be dealt over several tasks, the commonest of one row of SAMPLE with at least HOT_ROWS there, and tasks that each of them is dealt over.
 HOT, SAMPLE, HOT_ROWS, SALTS = 4096, 32, 100, 64
+#: One of so many keys names heads; partners of a set that meet it in one task.
+STARS, PLACE = 4, 2000
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN = 1 << 19
+_KNOWN, _PIECE = 1 << 19, 1 << 20
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _chained(hashes: np.ndarray, words: int, n: int) -> np.ndarray:
+    """Hash of each of the first `n` runs of that many words."""
+    out = np.full(n, np.uint64(words))
+    for k in range(words):
+        out = mixed(out * _ROUND + hashes[k : k + n])
+    return out
 
 
-def shingle_set(text: bytes, size: int, words: dict[bytes, int]) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles of `size` words, sorted; fewer words make one shingle, none an empty set."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    of = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    n = max(1, len(of) - size + 1)
-    out = np.full(n, np.uint64(min(size, len(of))))
-    for k in range(min(size, len(of))):
-        out = mixed(out * _ROUND + of[k : k + n])
-    return np.unique(out)
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """Of each text the distinct 64-bit hashes of its shingles of `size` words, sorted; fewer words make one shingle, none an empty set."""
+    for start, stop in cut(texts, _PIECE):
+        words = Words(texts[start:stop], SOLID_BYTES)
+        hashes, counts = words.hashes(), np.bincount(words.doc, minlength=stop - start)
+        # runs that reach into the next text are never read
+        runs = _chained(hashes, size, max(0, len(hashes) - size + 1))
+        at = 0
+        for n in counts.tolist():
+            found = np.sort(runs[at : at + n - size + 1]) if n >= size else _chained(hashes[at : at + n], n, min(n, 1))
+            at += n
+            yield found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) > 1 else found
 
 
 @dataclass(frozen=True)
@@ -160,28 +163,30 @@ def _node(members: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(members.tobytes()), "little", signed=True)
 
 
-def _counted(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, node, n) of each row: name and size of its set."""
+def _counted(docs: DataFrame, size: int, rule: Similarity, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, node, n, k) of each row: name and size of its set, and how many slices it has in all its levels."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, size, words) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n"])
+            nodes, sizes = [], []
+            for members in shingle_sets(as_bytes(batch.column("text")), size):
+                nodes.append(_node(members))
+                sizes.append(len(members))
+            slices = [sum(level.slices for level in rule.levels(n) if level.apart) for n in sizes]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (nodes, sizes, slices))], names=["doc_id", "node", "n", "k"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, n long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, n long, k long")
 
 
 def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
     """(node, set binary) of the rows that have words; a set that a task meets again soon is given once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, given = _WordHashes(), set()
+        given: set[int] = set()
         for batch in batches:
             nodes, sets = [], []
-            for body in as_bytes(batch.column("text")):
-                members = shingle_set(body, size, words)
+            for members in shingle_sets(as_bytes(batch.column("text")), size):
                 node = _node(members)
                 if len(members) and node not in given:
                     given.add(node)
@@ -204,12 +209,11 @@ def _keys(docs: DataFrame, size: int, rule: Similarity, text: str, hot: Broadcas
     """(key, node): the keys of all slices. Keys of `hot` (sorted) are dealt over SALTS keys made of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, given = _WordHashes(), set()
+        given: set[int] = set()
         many = hot.value if hot else np.zeros(0, np.uint64)
         for batch in batches:
             nodes, keys = [], []
-            for body in as_bytes(batch.column("text")):
-                members = shingle_set(body, size, words)
+            for members in shingle_sets(as_bytes(batch.column("text")), size):
                 node = _node(members)
                 if not len(members) or node in given:
                     continue
@@ -237,9 +241,9 @@ def _salted(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def _buckets(docs: DataFrame, size: int, rule: Similarity, text: str) -> DataFrame:
-    """(key, node, head): the different sets that share a key with another, each once, and the first of them.
+    """(key, node): the different sets that share a key with another, each once.
 
-    One shuffle of the keys; a sorted partition is read as a stream, so sets that are alone with a key go at once. Hot keys are met in SALTS parts.
+    One shuffle of the keys; a sorted partition is read as a stream, so sets that are alone with a key go at once. Hot keys come in SALTS parts.
     """
     sampled = docs.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
     counts = _keys(sampled, size, rule, text, None).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS)
@@ -253,51 +257,77 @@ def _buckets(docs: DataFrame, size: int, rule: Similarity, text: str) -> DataFra
         salted = _salted(np.repeat(many, SALTS), np.tile(np.arange(SALTS, dtype=np.uint64), len(many))).view(np.int64)
         order = np.argsort(salted)
         salted, plain = salted[order], np.repeat(many, SALTS).view(np.int64)[order]
-        rest, head = np.zeros((0, 2), np.int64), None
+        rest, going_on = np.zeros((0, 2), np.int64), False
         for batch in chain(batches, [None]):
             rows = rest if batch is None else np.concatenate((rest, np.stack([batch.column(c).to_numpy() for c in ("key", "node")], axis=1)))
             rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))] if len(rows) else rows
             if not len(rows):
                 continue
-            # the last row waits for its successor
-            fresh = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
-            heads = rows[first, 1]
-            going_on = head is not None and rows[0, 0] == head[0]
-            if going_on:
-                heads[first == 0] = head[1]
-            several = ~fresh
-            several[:-1] |= ~fresh[1:]
-            several[0] |= going_on
-            at = np.minimum(np.searchsorted(salted, rows[:, 0]), max(0, len(salted) - 1))
-            part = salted[at] == rows[:, 0] if len(salted) else np.zeros(len(rows), bool)
-            keep = several | part
+            # the last row waits for its successor; `going_on` tells whether the first one has had a predecessor
+            same = rows[1:, 0] == rows[:-1, 0]
+            keep = np.concatenate(([going_on], same))
+            keep[:-1] |= same
+            key = rows[:, 0]
+            if len(salted):
+                at = np.minimum(np.searchsorted(salted, key), len(salted) - 1)
+                part = salted[at] == key
+                keep, key = keep | part, np.where(part, plain[at], key)
             stop = len(rows) if batch is None else len(rows) - 1
+            going_on = bool(same[-1]) if len(same) else going_on
             keep[stop:] = False
-            key = np.where(part, plain[at], rows[:, 0]) if len(salted) else rows[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rows[keep, 1]), pa.array(heads[keep]), pa.array(part[keep])], names=["key", "node", "head", "hot"])
-            head, rest = (rows[-1, 0], heads[-1]) if not fresh[-1] or going_on and len(rows) == 1 else None, rows[stop:]
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rows[keep, 1])], names=["key", "node"])
+            rest = rows[stop:]
 
-    met = lined.mapInArrow(run, "key long, node long, head long, hot boolean")
-    return materialise(met)
+    return materialise(lined.mapInArrow(run, "key long, node long"))
+
+
+def _stars(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, y): each set of the buckets with the head it shares most keys with.
+
+    The head of a bucket is its most ordinary set, the one with the least share of keys that no other set has: the text that others were made of,
+    where there is one. One key of STARS is enough for that, since nothing is lost here.
+    """
+    ordinary = met.groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(classes, "node").select("node", ((F.col("k") - F.col("met")) / F.col("k")).alias("alone"))
+    some = met.filter(F.pmod("key", F.lit(STARS)) == 0)
+    heads = some.join(ordinary, "node").groupBy("key").agg(F.min(F.struct("alone", "node"))["node"].alias("head"))
+    shared = some.join(heads, "key").filter("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("node").agg(F.max(F.struct("n", "head"))["head"].alias("head"))
+    return best.select(F.col("node").alias("x"), F.col("head").alias("y"))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, rule: Similarity, text: str) -> DataFrame:
-    """Of `pairs` (x, y), the linked ones, by their sets."""
-    pairs = materialise(pairs)
-    sets = materialise(_asked(docs, pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), size, text))
-    left, right = sets.toDF("x", "x_set"), sets.toDF("y", "y_set")
+    """(x, y) of the `pairs` that are linked, by their sets.
+
+    Sets go to where the other one of the pair is: a set x travels once for each y, each y once for every PLACE of its partners, so no task gets all
+    partners of a set. There they are read as a stream behind the set of y.
+    """
+    pairs = materialise(pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(1 << 20))))
+    sizes = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PLACE).alias("salts"))
+    placed = pairs.join(sizes, "y").select("x", "y", F.pmod("salt", "salts").alias("salt"))
+    places = placed.select(F.col("x").alias("node"), F.col("y").alias("place"), "salt").union(placed.select("y", "y", "salt").distinct())
+    places = materialise(places)
+    sets = with_bit(_sets(docs, size, text), "node", places.select(F.col("node").alias("_node")), "_node").filter("_bit").select("node", "set")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # sets of equal rows of several tasks meet here once
+    there = sets.dropDuplicates(["node"]).join(places, "node").withColumn("_partner", F.col("node") != F.col("place"))
+    lined = there.repartition(parts, "place", "salt").sortWithinPartitions("place", "salt", "_partner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x_set"), batch.column("y_set"), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate((a, b)))
-                ok.append(int((both[1:] == both[:-1]).sum()) >= rule.need(len(a) + len(b)))
-            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for node, place, partner, body in zip(*(batch.column(c).to_pylist() for c in ("node", "place", "_partner")), batch.column("set"), strict=True):
+                members = np.frombuffer(body.as_buffer(), np.uint64)
+                if not partner:
+                    held = members.copy()
+                    continue
+                both = np.sort(np.concatenate((held, members)))
+                if int((both[1:] == both[:-1]).sum()) >= rule.need(len(both)):
+                    out.append((node, place))
+            x, y = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(x.copy()), pa.array(y.copy())], names=["x", "y"])
 
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "x_set", "y_set").mapInArrow(run, "x long, y long")
+    return lined.select("node", "place", "_partner", "set").mapInArrow(run, "x long, y long")
 
 
 def _searched(opened: DataFrame, docs: DataFrame, size: int, rule: Similarity, text: str, tile: int) -> DataFrame:
@@ -365,20 +395,15 @@ def jaccard_groups(docs: DataFrame, size: int = 4, least: Fraction = Fraction(85
     points packed in leaves, whose bound is the sum of the smaller coordinates, and what passes is verified.
     """
     rule = Similarity(least)
-    rows = materialise(_counted(docs, size, doc_id, text))
+    rows = materialise(_counted(docs, size, rule, doc_id, text))
+    classes = materialise(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("k").alias("k")))
     met = _buckets(docs, size, rule, text)
-    # at most HOT rows
-    heads = met.filter("hot").groupBy(F.col("key").alias("_key")).agg(F.min("head").alias("_head"))
-    stars = met.join(F.broadcast(heads), met["hot"] & (F.col("key") == F.col("_key")), "left").select("node", F.coalesce("_head", "head").alias("head")).filter("node <> head")
-    shared = stars.groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
-    most = shared.groupBy("node").agg(F.max(F.struct("n", "head")).alias("best")).select(F.least("node", "best.head").alias("x"), F.greatest("node", "best.head").alias("y"))
-    first = materialise(_linked(most.distinct(), docs, size, rule, text))
+    first = materialise(_linked(_stars(met, classes), docs, size, rule, text))
     named = met.join(components(first.toDF("a", "b")), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     opened = materialise(named.join(several, "key", "left_semi"))
     late = materialise(_linked(_searched(opened, docs, size, rule, text, tile), docs, size, rule, text))
     roots = components(first.union(late).toDF("a", "b"))
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least_of = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = classes.join(least_of, "root").select("node", "component_id")
