@@ -20,6 +20,8 @@ UNIT = float(1 << 24)
 KEEP = 20
 #: Partitions whose histograms the driver adds itself; more are merged in the cluster first.
 FEW = 16
+#: Rows of a partition of the binned table, at least.
+PART = 20_000
 
 
 def _matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
@@ -118,6 +120,13 @@ class Trees:
         return np.stack([self.value[k][self.nodes(x, k, depth)] for k in range(len(self.value))], axis=1)
 
 
+def judged(probs: np.ndarray, classes: list[int]) -> list[pa.Array]:
+    """Probabilities (row, class) as lists, and the likeliest class of each row: null where there are no classes."""
+    ends = pa.array((np.arange(len(probs) + 1) * len(classes)).astype(np.int32))
+    best = pa.array(np.array(classes, np.int32)[probs.argmax(axis=1)]) if probs.size else pa.nulls(len(probs), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(probs.ravel())), best]
+
+
 def softmax(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -148,10 +157,7 @@ class Booster:
                 scores = np.tile(model.base, (batch.num_rows, 1))
                 for trees in model.rounds:
                     scores += trees.scores(x, model.depth)
-                probs = softmax(scores) if batch.num_rows else scores
-                ends = pa.array(np.arange(0, probs.size + 1, len(model.classes), dtype=np.int32))
-                chosen = np.array(model.classes, np.int32)[probs.argmax(axis=1)] if batch.num_rows else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.ListArray.from_arrays(ends, pa.array(probs.ravel())), pa.array(chosen)], names=[*keys, "probs", "y_pred"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *judged(softmax(scores) if scores.size else scores, model.classes)], names=[*keys, "probs", "y_pred"])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*keys).schema.fields)
         return given.mapInArrow(run, f"{schema + ', ' if schema else ''}probs array<double>, y_pred int")
@@ -163,10 +169,15 @@ class Booster:
         return sorted(zip(self.bins.features, map(float, shares), strict=True), key=lambda r: (-r[1], r[0]))
 
 
-def balanced_weights(df: DataFrame, label: str) -> dict[int, float]:
-    """Rows / (classes * rows of the class), for each class; rows without a label count for nothing."""
-    counts = {int(r[0]): int(r[1]) for r in df.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).agg(F.count(F.lit(1))).collect()}
-    return {c: sum(counts.values()) / (len(counts) * n) for c, n in sorted(counts.items())}
+def class_counts(df: DataFrame, label: str) -> dict[int, int]:
+    """Rows of each class in order; rows without a label count for nothing."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).agg(F.count(F.lit(1))).collect()
+    return dict(sorted((int(c), int(n)) for c, n in counts))
+
+
+def few_parts(state: DataFrame, rows: int) -> DataFrame:
+    """`state` in no more partitions than give each PART rows: a level of trees is a pass, and small passes cost what their tasks do."""
+    return state.coalesce(max(1, -(-rows // PART)))
 
 
 def best_splits(worth: Callable[[np.ndarray], np.ndarray], room: Callable[[np.ndarray], np.ndarray], histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +238,9 @@ def fit_booster(
     """
     spark, features = df.sparkSession, list(features)
     rows = df.filter(F.col(label).isNotNull())
-    weights = balanced_weights(rows, label) if weights is None else dict(sorted(weights.items()))
+    counts = class_counts(rows, label)
+    total = sum(counts.values())
+    weights = {c: total / (len(counts) * n) for c, n in counts.items()} if weights is None else dict(sorted(weights.items()))
     classes = list(weights)
     binned = fit_bins(rows, features, bins)
     model = Booster(binned, classes, depth, np.zeros(len(classes)), gains=np.zeros(len(features)))
@@ -245,7 +258,7 @@ def fit_booster(
             scores = np.zeros((len(y), len(classes)))
             yield _packed(batch.column("_row"), y, x, scores)
 
-    state = materialise(given.mapInArrow(start, SCHEMA))
+    state = materialise(few_parts(given.mapInArrow(start, SCHEMA), total))
     by_class = np.array([weights[c] for c in classes])
     merge = state.rdd.getNumPartitions() > FEW
     fresh: list[Trees] = []

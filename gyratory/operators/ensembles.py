@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyratory.operators.boosting import FEW, Bins, Trees, _matrix, binned_rows, fit_bins, grow
+from gyratory.operators.boosting import FEW, Bins, Trees, _matrix, binned_rows, class_counts, few_parts, fit_bins, grow, judged
 from gyratory.session import materialise
 
 #: Bytes of the histograms of one pass; trees that do not fit wait for the next pass.
@@ -69,9 +69,9 @@ class Ensemble:
             model = sent.value
             weights = np.array(model.weights) / max(sum(model.weights), 1e-300)
             for batch in batches:
-                votes = np.stack(list(model.shares(model.bins.bins(_matrix(batch, names)))))
-                probs = np.tensordot(weights, votes, 1)
-                made = [pa.array(probs.tolist(), pa.list_(pa.float64())), pa.array(np.array(model.classes, np.int32)[probs.argmax(axis=1)], pa.int32())]
+                votes = list(model.shares(model.bins.bins(_matrix(batch, names))))
+                votes = np.stack(votes) if votes else np.zeros((0, batch.num_rows, len(model.classes)))
+                made = judged(np.tensordot(weights, votes, 1), model.classes)
                 if each:
                     made.append(pa.array(votes.transpose(1, 0, 2).tolist(), pa.list_(pa.list_(pa.float64()))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *made], names=[*keys, "probs", "y_pred", *(["votes"] if each else [])])
@@ -80,7 +80,7 @@ class Ensemble:
         return given.mapInArrow(run, f"{schema}probs array<double>, y_pred int" + (", votes array<array<double>>" if each else ""))
 
 
-def _state(df: DataFrame, features: Sequence[str], label: str, key: str, classes: list[int], binned: Bins, samples: DataFrame, count: int) -> DataFrame:
+def _state(df: DataFrame, features: Sequence[str], label: str, key: str, classes: list[int], binned: Bins, samples: DataFrame, count: int, total: int) -> DataFrame:
     """(y, x, member) of the labelled rows: class, bins, and a bit of each draw that holds the row."""
     names = [f"_f{i}" for i in range(len(features))]
     place = {c: i for i, c in enumerate(classes)}
@@ -99,7 +99,7 @@ def _state(df: DataFrame, features: Sequence[str], label: str, key: str, classes
             weight = pa.array([np.ones(1).tobytes()] * batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([y, *packed, weight], names=["y", "x", "member", "w"])
 
-    return materialise(rows.drop("_key", "_drawn").mapInArrow(run, "y int, x binary, member binary, w binary"))
+    return materialise(few_parts(rows.drop("_key", "_drawn").mapInArrow(run, "y int, x binary, member binary, w binary"), total))
 
 
 def _member(batch: pa.RecordBatch, count: int) -> np.ndarray:
@@ -131,9 +131,12 @@ def fit_balanced_bag(df: DataFrame, features: Sequence[str], label: str = "label
 
     The trees of all draws grow together, a pass a level for as many as ROOM bytes of histograms hold.
     """
-    features, classes = list(features), _classes(df, label)
+    features, counts = list(features), class_counts(df, label)
+    classes = list(counts)
     binned = fit_bins(df.filter(F.col(label).isNotNull()), features, bins)
-    state = _state(df, features, label, key, classes, binned, balanced_samples(df, label, key, samples, seed), samples)
+    if not classes:
+        return Ensemble(binned, classes, depth)
+    state = _state(df, features, label, key, classes, binned, balanced_samples(df, label, key, samples, seed), samples, sum(counts.values()))
     model, merge = Ensemble(binned, classes, depth), state.rdd.getNumPartitions() > FEW
     step = max(1, ROOM // ((1 << depth - 1) * len(features) * bins * len(classes) * 8))
     for first in range(0, samples, step):
@@ -156,9 +159,12 @@ def fit_balanced_boost(df: DataFrame, features: Sequence[str], label: str = "lab
     A tree's vote is rate * (log((1 - error) / error) + log(classes - 1)), with the error over the weights of all rows. A round whose error is no
     better than chance, or nothing, ends the loop; the first tree stays in any case. Weights are written each round.
     """
-    features, classes = list(features), _classes(df, label)
+    features, counts = list(features), class_counts(df, label)
+    classes = list(counts)
     binned = fit_bins(df.filter(F.col(label).isNotNull()), features, bins)
-    state = _state(df, features, label, key, classes, binned, balanced_samples(df, label, key, rounds, seed), rounds)
+    if not classes:
+        return Ensemble(binned, classes, depth)
+    state = _state(df, features, label, key, classes, binned, balanced_samples(df, label, key, rounds, seed), rounds, sum(counts.values()))
     model, merge = Ensemble(binned, classes, depth), state.rdd.getNumPartitions() > FEW
     for number in range(rounds):
 
@@ -195,7 +201,3 @@ def fit_balanced_boost(df: DataFrame, features: Sequence[str], label: str = "lab
 
         state = materialise(state.mapInArrow(reweighted, "y int, x binary, member binary, w binary"))
     return model
-
-
-def _classes(df: DataFrame, label: str) -> list[int]:
-    return sorted(int(r[0]) for r in df.select(F.col(label).cast("int")).distinct().dropna().collect())

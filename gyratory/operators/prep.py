@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gyratory.constants import MISSING, PHASES, SHIFT
 from gyratory.functions import ordered
+from gyratory.functions.quantiles import exact_quantiles
 from gyratory.functions.scalars import label_encode, parse_submission_id
 
 SERIES = ["view_label", "ID_type"]
@@ -98,18 +99,15 @@ def split_by_phase(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(df.filter(F.col("cycle_phase") == phase) for phase in PHASES)
 
 
-def medians(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Exact median of every feature, as (feature, median) rows."""
-    long = df.select([F.col(c).cast("double").alias(c) for c in features]).unpivot([], list(features), "feature", "value")
-    return ordered.aggregate_with_quantiles(long, ["feature"], [F.count("value").alias("n")], "value", {"median": 0.5})
+def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
+    """Exact median of every feature."""
+    return dict(zip(features, (q[0] for q in exact_quantiles(df, features, [0.5])), strict=True))
 
 
 def fill_with_train_median(test: DataFrame, train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Nulls of the test rows replaced by training medians (one number per feature)."""
-    known = {r.feature: r["median"] for r in medians(train, features).collect()}
-    return test.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(known.get(c)).cast("double")) for c in features}
-    )
+    known = medians(train, features)
+    return test.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(known[c]).cast("double")) for c in features})
 
 
 def current_state(df: DataFrame) -> DataFrame:

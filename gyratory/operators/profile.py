@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from gyratory.constants import DIRECTIONS
 from gyratory.functions import ordered
+from gyratory.functions.gram import correlation_matrix
+from gyratory.functions.quantiles import exact_quantiles
 from gyratory.functions.scalars import severity
 
 CAMERA_METRICS = ["entry_count", "exit_count", "entry_flow_rate", "circulating_occupancy_avg"]
@@ -25,15 +28,15 @@ def missing_values(df: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, minimum, exact quartiles and maximum, two decimals."""
-    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    stats = ordered.aggregate_with_quantiles(
-        long, ["feature"],
-        [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-         F.min("value").alias("min"), F.max("value").alias("max")],
-        "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-    )
-    return stats.select("feature", "count", *[F.round(c, 2).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    """Count, mean, deviation, minimum, exact quartiles and maximum, two decimals; one row of each column reaches the driver."""
+    columns = list(columns)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    whole = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}|{i}") for i, c in enumerate(columns) for k, f in kinds.items()]).first()
+    rows = [(c, whole[f"count|{i}"], *(whole[f"{k}|{i}"] for k in ("mean", "std", "min")), *quartiles[i], whole[f"max|{i}"]) for i, c in enumerate(columns)]
+    names = ["mean", "std", "min", "q25", "q50", "q75", "max"]
+    stats = df.sparkSession.createDataFrame(rows, "feature string, count long, " + ", ".join(f"{n} double" for n in names))
+    return stats.select("feature", "count", *[F.round(c, 2).alias(c) for c in names])
 
 
 def hour_distribution(df: DataFrame) -> DataFrame:
@@ -76,18 +79,23 @@ def target_distribution(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     )
 
 
-def correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Absolute correlation of every feature with the severity of a target label."""
-    y = severity(target).cast("double")
-    # a correlation uses the rows on which both sides are known
-    found = df.agg(*[F.corr(F.when(y.isNotNull(), F.col(c).cast("double")), y).alias(c) for c in features])
-    return found.unpivot([], list(features), "feature", "value").select("feature", F.abs("value").alias("correlation"))
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Columns that hold numbers."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+
+def correlations(df: DataFrame, features: Sequence[str] | None, target: str) -> DataFrame:
+    """Absolute correlation of every feature, of all numeric columns if none are named, with the severity of a target label."""
+    features = numeric_columns(df) if features is None else list(features)
+    # the matrix has a pair once, the first of the columns first
+    pairs = correlation_matrix(df.select(*features, severity(target).cast("double").alias("_severity")), [*features, "_severity"])
+    return pairs.filter("b = '_severity'").select(F.col("a").alias("feature"), F.abs("correlation").alias("correlation"))
 
 
-def top_correlations(df: DataFrame, features: Sequence[str], target: str, top: int = 10) -> DataFrame:
-    """The strongest of them."""
+def top_correlations(df: DataFrame, features: Sequence[str] | None, target: str, top: int = 10) -> DataFrame:
+    """The strongest of them; equal to nine digits, the first by name."""
     found = correlations(df, features, target).filter("correlation is not null")
-    return found.orderBy(F.desc("correlation"), "feature").limit(top)
+    return found.orderBy(F.desc(F.round("correlation", 9)), "feature").limit(top)
 
 
 def gap_analysis(df: DataFrame, ts: str = "video_ts") -> DataFrame:

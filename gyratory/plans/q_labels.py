@@ -73,6 +73,11 @@ def fused(spark, sf):
     return E.fuse(day_features(spark, sf))
 
 
+def every_number(spark, sf):
+    """Fused windows with the comparisons of cameras."""
+    return E.camera_interactions(fused(spark, sf))
+
+
 def cols(names, ints=()):
     return ", ".join(n if n in ints else f"R({n}) AS {n}" for n in names)
 

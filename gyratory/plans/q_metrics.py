@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gyratory.constants import CONGESTION, COUNTED_CLASSES, DIRECTIONS
 from gyratory.functions import scalars as B
+from gyratory.functions.gram import correlation_matrix
 from gyratory.operators import history as J
 from gyratory.operators import labels as L
 from gyratory.operators import metrics as M
@@ -14,7 +15,7 @@ from gyratory.operators import profile as R
 from gyratory.operators import visits as V
 from gyratory.plans import inputs as I
 from gyratory.plans import sql_tables as S
-from gyratory.plans.q_labels import TOTALS, WIDTH, fused, windows
+from gyratory.plans.q_labels import FUSED, TOTALS, WIDTH, every_number, fused, windows
 from gyratory.plans.q_prep import labelled_windows
 from gyratory.plans.q_windows import CLASSES, day_features
 from gyratory.plans.registry import query
@@ -226,22 +227,20 @@ def h15(spark, sf):
 _KEYF = ["total_entry_count", "total_exit_count", "total_entry_flow_rate", "total_exit_flow_rate",
          "total_circulating_occupancy", "avg_circulating_occupancy", "avg_speed_km_h", "entry_flow_imbalance",
          "north_entry_count", "east_entry_count", "south_entry_count", "west_entry_count"]
-_NULLABLE = ["avg_speed_km_h", "speed_range", "total_entry_count", *[f"{d}_{s}" for d in DIRECTIONS for s in (
-    "speed_avg_km_h", "speed_std_km_h", "entry_speed_avg_km_h", "circulating_speed_avg_km_h")]]
+_MISSING = f"""
+SELECT column_name, n - known AS missing, R((n - known) * 100e0 / n) AS percent
+FROM (UNPIVOT (SELECT count(*) AS n, {', '.join(f'count({c}) AS {c}' for c in FUSED)} FROM t_fused) ON {', '.join(FUSED)} INTO NAME column_name VALUE known)
+WHERE n > known"""
 
 
-@query("i2_missing_values", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, R((count(*) - count({c})) * 100e0 / count(*)) AS percent "
-    "FROM t_fused" for c in _NULLABLE) + ") WHERE missing > 0")
+@query("i2_missing_values", _MISSING)
 def i2(spark, sf):
-    return R.missing_values(fused(spark, sf).select(*_NULLABLE))
+    return R.missing_values(every_number(spark, sf))
 
 
-@query("i2_most_missing", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing, R((count(*) - count({c})) * 100e0 / count(*)) AS percent "
-    "FROM t_fused" for c in _NULLABLE) + ") WHERE missing > 0 ORDER BY missing DESC, column_name LIMIT 5")
+@query("i2_most_missing", _MISSING + " ORDER BY n - known DESC, column_name LIMIT 5")
 def i2_most(spark, sf):
-    return R.missing_values(fused(spark, sf).select(*_NULLABLE), top=5)
+    return R.missing_values(every_number(spark, sf), top=5)
 
 
 @query("i3_describe", "SELECT * FROM (" + " UNION ALL ".join(
@@ -290,21 +289,38 @@ def i8(spark, sf):
     return R.target_distribution(L.attach_labels(windows(spark, sf), I.ratings(spark, sf), WIDTH), _LABELS)
 
 
-_CORR = ["total_entry_count", "total_exit_count", "avg_circulating_occupancy", "hour_of_day"]
+def labelled_numbers(spark, sf):
+    """Every number of the fused windows beside the label of the north entry."""
+    wide = L.attach_labels(materialise(every_number(spark, sf)), I.ratings(spark, sf), WIDTH)
+    return materialise(wide.select(*FUSED, "north_entry_congestion"))
 
 
-@query("i9_correlations", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, R(abs(corr({S.SEVERITY.format(c='north_entry_congestion')}, {c}))) AS correlation FROM t_table"
-    for c in _CORR) + ")")
+S.TABLES["t_correlations"] = f"""
+SELECT feature, CASE WHEN count(x) FILTER (y IS NOT NULL) > 1 AND min(x) FILTER (y IS NOT NULL) < max(x) FILTER (y IS NOT NULL) THEN abs(corr(y, x)) END AS correlation
+FROM (SELECT CAST({S.SEVERITY.format(c='north_entry_congestion')} AS DOUBLE) AS y, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FUSED)} FROM t_table)
+     UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(FUSED)})) GROUP BY feature"""
+
+
+@query("i9_correlations", "SELECT feature, R(correlation) AS correlation FROM t_correlations")
 def i9(spark, sf):
-    return R.correlations(labelled_windows(spark, sf), _CORR, "north_entry_congestion")
+    return R.correlations(labelled_numbers(spark, sf), None, "north_entry_congestion")
 
 
-@query("i9_top_correlations", "SELECT feature, R(correlation) AS correlation FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, abs(corr({S.SEVERITY.format(c='north_entry_congestion')}, {c})) AS correlation FROM t_table"
-    for c in _CORR) + ") WHERE correlation IS NOT NULL ORDER BY correlation DESC LIMIT 2")
+@query("i9_top_correlations", """SELECT feature, R(correlation) AS correlation FROM t_correlations WHERE correlation IS NOT NULL
+ORDER BY round(correlation, 9) DESC, feature LIMIT 10""")
 def i9_top(spark, sf):
-    return R.top_correlations(labelled_windows(spark, sf), _CORR, "north_entry_congestion", top=2)
+    return R.top_correlations(labelled_numbers(spark, sf), None, "north_entry_congestion")
+
+
+_PAIRED = [c for c in FUSED if c in ("total_entry_count", "total_exit_count", "avg_circulating_occupancy", "avg_speed_km_h", "speed_range", "hour_of_day", "NS_EW_imbalance", "north_entry_speed_avg_km_h")]
+
+
+@query("i9_correlation_matrix", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, R(corr({a}, {b})) AS correlation FROM t_fused"
+    for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1:]) + ")")
+def i9_matrix(spark, sf):
+    # every pair is computed; the twin spells out these
+    return correlation_matrix(every_number(spark, sf).select(*FUSED), FUSED).filter(F.col("a").isin(*_PAIRED) & F.col("b").isin(*_PAIRED))
 
 
 @query("i10_gap_analysis", """

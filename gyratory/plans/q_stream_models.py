@@ -14,7 +14,7 @@ from gyratory.operators import models as M
 from gyratory.operators import prep as P
 from gyratory.plans import inputs as I
 from gyratory.plans import sql_tables as S
-from gyratory.plans.q_labels import FUSED, WIDTH, fused
+from gyratory.plans.q_labels import FUSED, WIDTH, every_number
 from gyratory.plans.q_windows import zone_table
 from gyratory.plans.registry import query
 from gyratory.session import materialise, scratch
@@ -76,7 +76,7 @@ FROM t_table WHERE north_entry_congestion IS NOT NULL"""
 
 def model_rows(spark, sf):
     """(training rows, validation rows, features): the features are all columns that are neither key nor label."""
-    wide = L.attach_labels(materialise(fused(spark, sf)), I.ratings(spark, sf), WIDTH)
+    wide = L.attach_labels(materialise(every_number(spark, sf)), I.ratings(spark, sf), WIDTH)
     names = [c for c in P.feature_columns(wide) if c in FUSED]
     key = F.concat_ws(":", F.date_format("video_ts", "yyyyMMddHHmmss"), "window_idx")
     rows = wide.select(key.alias("ID"), (F.dayofmonth("video_ts") % 5 == 0).alias("held_out"), B.severity("north_entry_congestion").alias("label"), *[F.col(c).cast("double").alias(c) for c in names])
