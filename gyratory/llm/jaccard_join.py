@@ -22,12 +22,12 @@ from gyratory.session import materialise
 
 #: A level of sizes reaches to this times its first size.
 STEP = Fraction(8, 5)
-#: Shingles to a coordinate of a point, about, and members of a leaf and of a tile of the tree.
-FILL, LEAF, TILE = 8, 32, 512
+#: Coordinates of a point that are added up to one of the tree, and members of a leaf and of a tile of the tree.
+FOLD, LEAF, TILE = 8, 32, 512
 #: Keys that may be dealt over several tasks, the commonest of one row of SAMPLE with at least HOT_ROWS there, and tasks that each of them is dealt over.
 HOT, SAMPLE, HOT_ROWS, SALTS = 4096, 32, 100, 64
 #: One of so many keys names heads; partners of a set that meet it in one task.
-STARS, PLACE = 4, 2000
+STARS, PLACE = 4, 250
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN, _PIECE = 1 << 19, 1 << 20
 
@@ -117,21 +117,29 @@ def slice_keys(members: np.ndarray, level: Level) -> np.ndarray:
 
 
 def axes_of(size: int) -> int:
-    """Coordinates of the coarse point of a set: a power of two, for 4 to 8 members each."""
-    return 1 << max(2, (size // FILL).bit_length())
+    """Coordinates of the point of a set: a power of two, for half a member to one each."""
+    return 1 << max(4, size.bit_length())
 
 
 def point(members: np.ndarray, axes: int) -> np.ndarray:
-    """Coarse count vector: members to each of `axes` (a power of two) groups."""
-    return np.bincount((members & np.uint64(axes - 1)).astype(np.int64), minlength=axes).astype(np.uint32)
+    """Count vector: members to each of `axes` (a power of two) groups."""
+    return np.bincount((members & np.uint64(axes - 1)).astype(np.int64), minlength=axes).astype(np.uint16)
+
+
+def folded(points: np.ndarray, axes: int) -> np.ndarray:
+    """Points with fewer coordinates: groups whose numbers share their low bits are one."""
+    return points.reshape(*points.shape[:-1], -1, axes).sum(axis=-2, dtype=np.uint16)
 
 
 def leaf_pairs(x: np.ndarray, y: np.ndarray, need, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of points of `x` and `y` (counts by row) whose summed minima reach what the link asks for.
 
-    Both sides are packed into leaves along their size and their first coordinates. A leaf is bounded by its largest coordinates and its
-    smallest size; leaf pairs that the bound rules out are not opened. With `same` only pairs in order are given.
+    Both sides are packed into leaves along their size and their first coordinates, by points of a FOLD-th of the coordinates. A leaf is bounded by its
+    largest coordinates and its smallest size; leaf pairs that the bound rules out are not opened. Pairs inside them are bounded by their folded
+    points first, then by all coordinates. With `same` only pairs in order are given.
     """
+    fine_x, fine_y = x, y
+    x, y = (folded(p, max(1, p.shape[1] // FOLD)) for p in (x, y))
     sides = []
     for points in (x, y):
         size = points.sum(axis=1, dtype=np.int64)
@@ -152,8 +160,11 @@ def leaf_pairs(x: np.ndarray, y: np.ndarray, need, same: bool) -> tuple[np.ndarr
             a, b = inside[a], across[b]
             if same and i == j:
                 a, b = a[a < b], b[a < b]
-            one.append(a)
-            other.append(b)
+            for at in range(0, len(a), 4096):
+                p, q = a[at : at + 4096], b[at : at + 4096]
+                near = np.minimum(fine_x[p], fine_y[q]).sum(axis=1, dtype=np.int64) >= need(x_size[p] + y_size[q])
+                one.append(p[near])
+                other.append(q[near])
     none = np.zeros(0, np.int64)
     return (np.concatenate(one), np.concatenate(other)) if one else (none, none)
 
@@ -351,9 +362,9 @@ def _searched(opened: DataFrame, docs: DataFrame, size: int, rule: Similarity, t
 
     def searched(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         own, root = (rows.column(c).to_numpy() for c in ("node", "root"))
-        points = [np.frombuffer(v.as_buffer(), np.uint32) for v in rows.column("point")]
+        points = [np.frombuffer(v.as_buffer(), np.uint16) for v in rows.column("point")]
         axes = min(map(len, points))
-        matrix = np.stack([p.reshape(-1, axes).sum(axis=0, dtype=np.uint32) for p in points])
+        matrix = np.stack([folded(p, axes) for p in points])
         tile, low, high = (rows.column(c).to_numpy() for c in ("tile", "low", "high"))
         same = low[0] == high[0]
         x, y = np.flatnonzero(tile == low[0]), np.flatnonzero(tile == high[0])
@@ -375,8 +386,9 @@ def _searched(opened: DataFrame, docs: DataFrame, size: int, rule: Similarity, t
             found = [searched(rows.slice(s, e - s)) for s, e in zip(whole[:-1], whole[1:], strict=True)]
             rest = None if batch is None else rows.slice(cuts[-2]).combine_chunks().to_batches()[0]
             if found:
-                pairs = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays(pairs, names=["x", "y"])
+                # a pair of several buckets is given once
+                pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(2)], names=["x", "y"])
 
     return lined.mapInArrow(run, "x long, y long").distinct()
 
@@ -400,7 +412,10 @@ def jaccard_groups(docs: DataFrame, size: int = 4, least: Fraction = Fraction(85
     met = _buckets(docs, size, rule, text)
     first = materialise(_linked(_stars(met, classes), docs, size, rule, text))
     named = met.join(components(first.toDF("a", "b")), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    held = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"held{i}") for i in range(2)]
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *held).filter("lo <> hi")
+    # buckets of the same sets are searched once
+    several = several.groupBy("n", "held0", "held1").agg(F.min("key").alias("key")).select("key")
     opened = materialise(named.join(several, "key", "left_semi"))
     late = materialise(_linked(_searched(opened, docs, size, rule, text, tile), docs, size, rule, text))
     roots = components(first.union(late).toDF("a", "b"))
