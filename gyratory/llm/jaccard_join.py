@@ -126,6 +126,23 @@ def point(members: np.ndarray, axes: int) -> np.ndarray:
     return np.bincount((members & np.uint64(axes - 1)).astype(np.int64), minlength=axes).astype(np.uint16)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """A point in two bits a coordinate, followed by those over three: almost all counts are smaller."""
+    small, large = np.minimum(point, 3).astype(np.uint8), np.flatnonzero(point > 3)
+    head = np.array([len(point), len(large)], np.uint32)
+    return b"".join(x.tobytes() for x in (head, np.packbits(small & 1), np.packbits(small >> 1), large.astype(np.uint32), point[large].astype(np.uint16)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    axes, n = (int(x) for x in np.frombuffer(data, np.uint32, 2))
+    plane = axes // 8
+    low, high = (np.unpackbits(np.frombuffer(data, np.uint8, plane, 8 + i * plane)) for i in range(2))
+    out = (low + 2 * high).astype(np.uint16)
+    at = 8 + 2 * plane
+    out[np.frombuffer(data, np.uint32, n, at)] = np.frombuffer(data, np.uint16, n, at + 4 * n)
+    return out
+
+
 def folded(points: np.ndarray, axes: int) -> np.ndarray:
     """Points with fewer coordinates: groups whose numbers share their low bits are one."""
     return points.reshape(*points.shape[:-1], -1, axes).sum(axis=-2, dtype=np.uint16)
@@ -351,7 +368,7 @@ def _searched(opened: DataFrame, docs: DataFrame, size: int, rule: Similarity, t
     def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("set")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([point(s, axes_of(len(s))).tobytes() for s in sets], pa.binary())], names=["node", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([packed(point(s, axes_of(len(s)))) for s in sets], pa.binary())], names=["node", "point"])
 
     points = materialise(_asked(docs, opened.select("node").distinct(), size, text).mapInArrow(pointed, "node long, point binary"))
     dealt = opened.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
@@ -362,7 +379,7 @@ def _searched(opened: DataFrame, docs: DataFrame, size: int, rule: Similarity, t
 
     def searched(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         own, root = (rows.column(c).to_numpy() for c in ("node", "root"))
-        points = [np.frombuffer(v.as_buffer(), np.uint16) for v in rows.column("point")]
+        points = [unpacked(p) for p in rows.column("point").to_pylist()]
         axes = min(map(len, points))
         matrix = np.stack([folded(p, axes) for p in points])
         tile, low, high = (rows.column(c).to_numpy() for c in ("tile", "low", "high"))

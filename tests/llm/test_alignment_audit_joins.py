@@ -219,6 +219,14 @@ def test_agreeing_sets_share_a_slice_key():
         assert len(base) == len(other) or np.intersect1d(*keys).size
 
 
+def test_packed_points():
+    rng = np.random.default_rng(8)
+    for axes in (16, 1024):
+        for most in (1, 4, 70_000):
+            made = rng.integers(0, most, axes).astype(np.uint16)
+            assert (jaccard_join.unpacked(jaccard_join.packed(made)) == made).all()
+
+
 def test_leaves_lose_no_pair():
     rule, rng = Similarity(Fraction(85, 100)), np.random.default_rng(7)
     points = rng.poisson(3, (300, 16)).astype(np.uint32)
