@@ -133,40 +133,9 @@ MIX = {"source": 0.7, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "top
 TOPICS = {"legal": ["icensed under", "All rights reserved", "opyright"], "contact": ["@"], "tabular": [" | "], "markup": ["</", "{", "}"]}
 
 
-def _mix_sql(fraction: float = 0.5, sweeps: int = 12) -> str:
-    def count(words: list[str]) -> str:
-        return " + ".join(f"(strlen(body) - strlen(replace(body, '{w}', ''))) / {len(w.encode())}.0" for w in words)
-
-    best = f"greatest({', '.join(f'({count(w)})' for w in TOPICS.values())})"
-    topic = " ".join(f"WHEN {count(w)} = {best} THEN '{name}'" for name, w in TOPICS.items())
-    steps = [
-        f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS body FROM documents),
-    r AS (SELECT doc_id, source, lang, CASE WHEN {best} = 0 THEN 'other' {topic} END AS topic, CAST(ceil(strlen(body) / 4.0) AS BIGINT) AS tokens FROM d),
-    c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM r GROUP BY ALL)"""
-    ]
-    for axis, target in MIX.items():
-        if isinstance(target, dict):
-            names = ", ".join(f"'{v}'" for v in target)
-            cases = " ".join(f"WHEN '{v}' THEN {s}" for v, s in target.items())
-            raw = f"CASE {axis} {cases} ELSE n * {max(0.0, 1 - sum(target.values()))} / coalesce(nullif((SELECT sum(tokens) FROM c WHERE {axis} NOT IN ({names})), 0), 1) END"
-        else:
-            raw = f"pow(n, {target})"
-        steps.append(f"s_{axis} AS (SELECT {axis}, share / sum(share) OVER () AS share_{axis} FROM (SELECT {axis}, {raw} AS share FROM (SELECT {axis}, CAST(sum(tokens) AS DOUBLE) AS n FROM c GROUP BY 1)))")
-    steps.append(f"w0 AS (SELECT source, lang, topic, CAST(tokens AS DOUBLE) AS tokens, tokens * {fraction} AS weight, share_source, share_lang, share_topic, {fraction} * sum(tokens) OVER () AS goal FROM c JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic))")
-    n = 0
-    for _ in range(sweeps):
-        for axis in MIX:
-            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {axis}) > 0 THEN least(weight * goal * share_{axis} / sum(weight) OVER (PARTITION BY {axis}), tokens) ELSE 0 END AS weight) FROM w{n})")
-            n += 1
-    return f"""WITH {", ".join(steps)}
-    SELECT doc_id, source, lang, topic, r.tokens, round(p, 6) AS probability, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept
-    FROM r JOIN (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(weight / tokens, 1) ELSE {fraction} END AS p FROM w{n}) USING (source, lang, topic)"""
-
-
-@query("op3_raking", _mix_sql())
+@query("op3_raking")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL twin has 12 sweeps of plain scaling
-    mixed = raking.mix_documents(table(spark, sf_dir, "documents"), MIX, fraction=0.5, topic=raking.topic_of(F.col("text"), TOPICS), sweeps=12)
+    mixed = raking.mix_documents(table(spark, sf_dir, "documents"), MIX, fraction=0.5, topic=raking.topic_of(F.col("text"), TOPICS))
     return mixed.withColumn("probability", F.round("probability", 6))
 
 
