@@ -42,10 +42,15 @@ def append_template(long: DataFrame, template: DataFrame, sort: bool = False) ->
     return both.orderBy("view_label", "ID_type", "time_segment_id", "ID") if sort else both
 
 
+def candidate_features_of(name: str) -> bool:
+    """Whether a name marks a tracking feature."""
+    return any(p in name for p in TRACKING_PARTS)
+
+
 def candidate_features(df: DataFrame) -> list[str]:
     """Base features and those whose name marks them as tracking features."""
     numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float")}
-    return [c for c in df.columns if c in BASE_FEATURES or (c in numeric and any(p in c for p in TRACKING_PARTS))]
+    return [c for c in df.columns if c in BASE_FEATURES or (c in numeric and candidate_features_of(c))]
 
 
 def feature_completeness(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:

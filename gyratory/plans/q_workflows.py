@@ -10,8 +10,10 @@ from gyratory.operators import sequences as Q
 from gyratory.plans import inputs as I
 from gyratory.plans import sql_tables as S
 from gyratory.plans import workflows as FL
+from gyratory.plans.q_labels import FUSED, every_number
 from gyratory.plans.q_prep import FEATURES, SEQ, labelled_windows
 from gyratory.plans.registry import query
+from gyratory.session import materialise
 
 _LAGGED = ["entry_count_lag_1", "exit_flow_rate_lag_3", "entry_count_rolling_mean_3", "exit_count_rolling_std_12"]
 _EP1 = [f"{d}_{c}" for d in ("north", "west") for c in _LAGGED]
@@ -46,6 +48,35 @@ def ep2(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Numbers of a fused window that every window has; speeds need journeys, which most windows of these tables have none of.
+_STEADY = [c for c in FUSED if "speed" not in c and P.candidate_features_of(c) and c not in FEATURES]
+_WITH = [*FEATURES, *_STEADY]
+S.TABLES["t_featured"] = f"""
+SELECT ID, ID_type, view_label, time_segment_id, cycle_phase, congestion_rating, window_idx, {', '.join(_WITH)}
+FROM (SELECT l.*, f.window_idx, {', '.join(f'f.{c}' for c in _STEADY)} FROM t_long l LEFT JOIN (SELECT * FROM t_fused WHERE window_idx = 8) f USING (video_ts) WHERE cycle_phase <> 'test_output_5')
+UNION ALL
+SELECT ID, ID_type, view_label, time_segment_id, cycle_phase, NULL, NULL, {', '.join('NULL' for _ in _WITH)} FROM t_long WHERE cycle_phase = 'test_output_5'"""
+S.TABLES["t_shifted_features"] = f"""
+SELECT * FROM (SELECT ID, cycle_phase, congestion_rating, {', '.join(f'lag({c}, 7) OVER w AS {c}' for c in _WITH)} FROM t_featured
+  WINDOW w AS (PARTITION BY view_label, ID_type ORDER BY time_segment_id, window_idx NULLS FIRST, ID))
+WHERE cycle_phase = 'test_output_5' OR ({' AND '.join(f'{c} IS NOT NULL' for c in _WITH)})"""
+
+
+@query("ep2_forecasting_features", f"""
+WITH m AS (SELECT {', '.join(f'quantile_cont({c}::DOUBLE, 0.5) AS m_{c}' for c in _WITH)} FROM t_shifted_features WHERE cycle_phase = 'train')
+SELECT ID, cycle_phase, congestion_rating, {', '.join(
+    f"R(CASE WHEN cycle_phase = 'test_output_5' THEN coalesce({c}::DOUBLE, m_{c}) ELSE {c} END) AS {c}" for c in _WITH)}
+FROM t_shifted_features, m""")
+def ep2_features(spark, sf):
+    rows = I.ratings(spark, sf)
+    template = P.to_long(rows.filter("cycle_phase = 'test_output_5'")).select("ID", F.lit("x").alias("Target"), F.lit("x").alias("Target_Accuracy"))
+    numbers = materialise(every_number(spark, sf).select("video_ts", "window_idx", *_STEADY))
+    out = FL.forecasting_dataset(rows.filter("cycle_phase = 'train'"), rows.filter("cycle_phase = 'test_input_15'"), template, features=numbers, window=8)
+    names = [F.col(c).cast("double").alias(c) for c in _WITH]
+    parts = [p.select("ID", "cycle_phase", "congestion_rating", *names) for p in (out.training, out.validation, out.testing)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("ep3_sequence_dataset", f"""
 SELECT sequence_id, start_timestamp, end_timestamp, {', '.join(
     f"coalesce(CAST({S.SEVERITY.format(c=t)} AS INTEGER), -1) AS y{i}" for i, t in enumerate(Q.ENTRY_TARGETS))},

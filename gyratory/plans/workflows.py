@@ -36,14 +36,14 @@ class ForecastingTables:
 
 def forecasting_dataset(
     train: DataFrame, test: DataFrame, template: DataFrame, features: DataFrame | None = None, periods: int = SHIFT,
-    order: str = "label_id",
+    order: str = "label_id", window: int | None = None,
 ) -> ForecastingTables:
     """Label records, test segments and a submission template -> shifted training, validation and test rows.
 
-    `features` are window features joined by video timestamp; every window of a video then gives a row.
+    `features` are window features joined by video timestamp; every window of a video then gives a row, or only the one with the index `window`.
     """
     if features is not None:
-        train, test = (labels.join_features_on_timestamp(df, features) for df in (train, test))
+        train, test = (labels.join_features_on_timestamp(df, features, window) for df in (train, test))
     train, test = (add_time_features(df) for df in (train, test))
     train, test = encode_by_first_appearance(train, test, "signaling", order)
     long = prep.to_long(train.unionByName(test, allowMissingColumns=True))
