@@ -171,7 +171,7 @@ def test_last_windows_over_batches(spark, tmp_path):
 
 def test_registry_has_a_twin_for_everything_but_the_models():
     missing = set(catalogue.QUERIES) - set(catalogue.ORACLES)
-    assert missing == {"h16_random_forest", "h17_boosted_trees", "h18_mlp", "h19_compare_models", "h20_feature_importance"}
+    assert missing == {"h16_random_forest", "h16_balanced_bag", "h16_balanced_boost", "h17_boosted_trees", "h18_mlp", "h19_compare_models", "h20_feature_importance"}
 
 
 def test_models_learn_something(spark):
@@ -182,7 +182,10 @@ def test_models_learn_something(spark):
     forest = M.train_random_forest(df, ["a", "b"], trees=5, depth=4)
     assert M.score(forest, df).first().accuracy > 0.95
     assert M.feature_importance(forest, ["a", "b"]).first().feature == "a"
-    res = M.compare_models(df, df, {"random_forest": lambda d: forest, "broken": lambda d: 1 / 0})
+    # a model that fails is no result to leave out in silence
+    with pytest.raises(ZeroDivisionError):
+        M.compare_models(df, df, {"random_forest": lambda d: forest, "broken": lambda d: 1 / 0})
+    res = M.compare_models(df, df, {"random_forest": lambda d: forest})
     assert res.count() == 1 and M.category_stats(res).first().category == "Random Forest"
 
 
@@ -198,5 +201,7 @@ def test_shared_folder_follows_the_session():
     assert shared_dir(session("/shared/x")) == shared_dir(session("/shared/x", "spark://host:7077")) == "/shared/x"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session(None, "spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session(None, "local-cluster[2,1,1024]"))
     local = shared_dir(session(None))
     assert local.startswith("/tmp/spark-") and shared_dir(session(None)) == local
