@@ -69,14 +69,17 @@ class Level:
 
 
 class Similarity:
-    """Link rule intersection / union >= least, in whole numbers, and the levels of sizes that follow from it."""
+    """Link rule intersection / union >= least, in whole numbers, and the levels of sizes that follow from it: each reaches to `step` times its first size.
 
-    def __init__(self, least: Fraction):
-        self.least = least
+    The smaller `least`, the smaller `step` has to be: where slices are many for the sets of a level, empty ones become keys that unrelated sets share.
+    """
+
+    def __init__(self, least: Fraction, step: Fraction = STEP):
+        self.least, self.step = least, step
         self.levels = lru_cache(1 << 16)(self._levels)
 
     def __reduce__(self):
-        return Similarity, (self.least,)
+        return Similarity, (self.least, self.step)
 
     def need(self, total):
         """Smallest intersection of two sets of `total` members together."""
@@ -87,11 +90,15 @@ class Similarity:
         """Largest partner of a set of that size."""
         return size * self.least.denominator // self.least.numerator
 
+    def slices(self, size: int) -> int:
+        """Slices that a set of that size has in all its levels."""
+        return sum(level.slices for level in self.levels(size) if level.apart)
+
     def _levels(self, size: int) -> list[Level]:
         """Levels that a set of that size has keys in: that of its own size and those of smaller sets that it may be linked to."""
         out, first, number = [], 1, 0
         while first <= size:
-            stop = max(first + 1, first * STEP.numerator // STEP.denominator)
+            stop = max(first + 1, first * self.step.numerator // self.step.denominator)
             if self.largest(stop - 1) >= size:
                 total = stop - 1 + self.largest(stop - 1)
                 up, down = self.least.numerator, self.least.numerator + self.least.denominator
@@ -186,7 +193,7 @@ def leaf_pairs(x: np.ndarray, y: np.ndarray, need, same: bool) -> tuple[np.ndarr
     return (np.concatenate(one), np.concatenate(other)) if one else (none, none)
 
 
-def _node(members: np.ndarray) -> int:
+def name_of(members: np.ndarray) -> int:
     """64 bits that name a set."""
     return int.from_bytes(xxhash.xxh3_64_digest(members.tobytes()), "little", signed=True)
 
@@ -199,9 +206,9 @@ def _counted(docs: DataFrame, size: int, rule: Similarity, doc_id: str, text: st
         for batch in batches:
             nodes, sizes = [], []
             for members in shingle_sets(as_bytes(batch.column("text")), size):
-                nodes.append(_node(members))
+                nodes.append(name_of(members))
                 sizes.append(len(members))
-            slices = [sum(level.slices for level in rule.levels(n) if level.apart) for n in sizes]
+            slices = [rule.slices(n) for n in sizes]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (nodes, sizes, slices))], names=["doc_id", "node", "n", "k"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, n long, k long")
@@ -215,7 +222,7 @@ def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
         for batch in batches:
             nodes, sets = [], []
             for members in shingle_sets(as_bytes(batch.column("text")), size):
-                node = _node(members)
+                node = name_of(members)
                 if len(members) and node not in given:
                     given.add(node)
                     nodes.append(node)
@@ -242,7 +249,7 @@ def _keys(docs: DataFrame, size: int, rule: Similarity, text: str, hot: Broadcas
         for batch in batches:
             nodes, keys = [], []
             for members in shingle_sets(as_bytes(batch.column("text")), size):
-                node = _node(members)
+                node = name_of(members)
                 if not len(members) or node in given:
                     continue
                 given.add(node)
@@ -410,6 +417,26 @@ def _searched(opened: DataFrame, docs: DataFrame, size: int, rule: Similarity, t
     return lined.mapInArrow(run, "x long, y long").distinct()
 
 
+def jaccard_links(docs: DataFrame, classes: DataFrame, size: int, rule: Similarity, tile: int = TILE, text: str = "text", near: DataFrame | None = None) -> DataFrame:
+    """(a, b) links that connect all sets of `classes` (node, k) that `rule` links, exactly.
+
+    Pairs `near` (x, y: the one that more pairs share) are verified with the first of the buckets; they only join early what would be found later.
+    """
+    met = _buckets(docs, size, rule, text)
+    pairs = _stars(met, classes)
+    if near is not None:
+        pairs = pairs.union(near.select("x", "y")).distinct()
+    first = materialise(_linked(pairs, docs, size, rule, text))
+    named = met.join(components(first.toDF("a", "b")), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    held = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"held{i}") for i in range(2)]
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *held).filter("lo <> hi")
+    # buckets of the same sets are searched once
+    several = several.groupBy("n", "held0", "held1").agg(F.min("key").alias("key")).select("key")
+    opened = materialise(named.join(several, "key", "left_semi"))
+    late = materialise(_linked(_searched(opened, docs, size, rule, text, tile), docs, size, rule, text))
+    return first.union(late).toDF("a", "b")
+
+
 def jaccard_groups(docs: DataFrame, size: int = 4, least: Fraction = Fraction(85, 100), tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row.
 
@@ -426,16 +453,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, least: Fraction = Fraction(85
     rule = Similarity(least)
     rows = materialise(_counted(docs, size, rule, doc_id, text))
     classes = materialise(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("k").alias("k")))
-    met = _buckets(docs, size, rule, text)
-    first = materialise(_linked(_stars(met, classes), docs, size, rule, text))
-    named = met.join(components(first.toDF("a", "b")), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    held = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"held{i}") for i in range(2)]
-    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *held).filter("lo <> hi")
-    # buckets of the same sets are searched once
-    several = several.groupBy("n", "held0", "held1").agg(F.min("key").alias("key")).select("key")
-    opened = materialise(named.join(several, "key", "left_semi"))
-    late = materialise(_linked(_searched(opened, docs, size, rule, text, tile), docs, size, rule, text))
-    roots = components(first.union(late).toDF("a", "b"))
+    roots = components(jaccard_links(docs, classes, size, rule, tile, text))
     classes = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least_of = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = classes.join(least_of, "root").select("node", "component_id")

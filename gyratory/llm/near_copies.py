@@ -1,12 +1,12 @@
-"""Near copies: SimHash fingerprints meet by Golay keys, an exact prefix filter adds what they miss, and pairs are verified by the Jaccard similarity of their word shingles."""
+"""Near copies: SimHash fingerprints meet by Golay keys, the Jaccard join finds what they miss, and pairs are verified by the sets of their word shingles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,203 +14,65 @@ from gyratory.llm.bitmaps import with_bit
 from gyratory.llm.blocks import as_bytes
 from gyratory.llm.components import components
 from gyratory.llm.golay_simhash import close_links, simhash
+from gyratory.llm.jaccard_join import Similarity, jaccard_links, name_of, shingle_sets
 from gyratory.session import materialise
 
-#: Classes of shingle hashes (a power of two) whose counts bound the overlap of two sets.
-CLASSES = 64
-#: Classes of shingle hashes (a power of two) in which common shingles are counted, one text of SAMPLE, and how many classes may be told as common.
-COMMON, SAMPLE, MOST_COMMON = 1 << 20, 4, 1 << 16
+#: Levels of sizes of the join reach to this times their first size; at 0.8 and 8/5 a tenth of the slices of the smaller sets would be empty, and all of those keys.
+STEP = Fraction(5, 4)
 
 
 def _hash_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, row_hash, a, b, fingerprint, n): hash of the word sequence, SimHash of its distinct words, number of words."""
+def _prints(docs: DataFrame, shingle: int, rule: Similarity, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, row_hash, node, n, k, fingerprint): name and size of the set of shingles, how many slices it has, SimHash of the distinct words."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t in as_bytes(batch.column("text")):
-                words = t.lower().split()
-                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), simhash(words, 1, distinct=True)))
-            pair = np.frombuffer(b"".join(h for h, _ in rows), np.int64).reshape(-1, 2)
-            made = [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(np.array([p for _, p in rows], np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), *made], names=["doc_id", "row_hash", "a", "b", "fingerprint"])
+            texts = as_bytes(batch.column("text"))
+            sets = [(name_of(s), len(s)) for s in shingle_sets(texts, shingle)]
+            nodes, sizes = (pa.array([s[i] for s in sets], pa.int64()) for i in range(2))
+            slices = pa.array([rule.slices(n) for _, n in sets], pa.int64())
+            prints = pa.array(np.array([simhash(t.lower().split(), 1, distinct=True) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), nodes, sizes, slices, prints], names=["doc_id", "row_hash", "node", "n", "k", "fingerprint"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), _hash_of(text).alias("row_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row_hash long, a long, b long, fingerprint long")
+    return rows.mapInArrow(run, f"doc_id {kind}, row_hash long, node long, n long, k long, fingerprint long")
 
 
-def _set_of(text: bytes, shingle: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles of a text, sorted."""
-    words = text.lower().split()
-    found = {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
-
-
-def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, set, counts): distinct 64-bit hashes of the shingles of each text, sorted, and how many of them fall in each class by their low bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_set_of(t, shingle) for t in as_bytes(batch.column("text"))]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            counts = pa.array([np.bincount(s & (CLASSES - 1), minlength=CLASSES) for s in sets], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), flat), counts], names=["node", "set", "counts"])
-
-    return texts.mapInArrow(run, "node long, set array<long>, counts array<int>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of `pairs` (x, y), those whose sets have a Jaccard similarity of `least` or more.
-
-    Sets travel only where their counts by hash class leave room for the overlap that the similarity asks for.
-    """
-    counted = sets.select("node", F.size("set").alias("n"), "counts")
-    one, other = counted.toDF("x", "x_n", "x_counts"), counted.toDF("y", "y_n", "y_counts")
-    most = F.aggregate(F.zip_with("x_counts", "y_counts", lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n)
-    fits = most >= F.lit(least / (1 + least)) * (F.col("x_n") + F.col("y_n")) - 1e-6
-    pairs = pairs.join(one, "x").join(other, "y").filter(fits).select("x", "y")
-    left = sets.select(F.col("node").alias("x"), F.col("set").alias("x_set"))
-    right = sets.select(F.col("node").alias("y"), F.col("set").alias("y_set"))
-    both = pairs.join(left, "x").join(right, "y")
-    shared = F.size(F.array_intersect("x_set", "y_set"))
-    whole = F.size("x_set") + F.size("y_set") - shared
-    return both.filter(shared >= F.lit(least) * whole).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
-def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the commonest shingles, sorted, and their counts over one text of SAMPLE: only an order, so any sample gives the same links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COMMON, np.int64)
-        for batch in batches:
-            for t in as_bytes(batch.column("text")):
-                counts += 0 if (at := _set_of(t, shingle) & (COMMON - 1)).size == 0 else np.bincount(at, minlength=COMMON)
-        used = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["class", "n"])
-
-    sampled = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sampled.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).filter("n > 1")
-    found = counts.orderBy(F.desc("n"), "class").limit(MOST_COMMON).toPandas().sort_values("class")
-    return found["class"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-
-
-def _prefixes(texts: DataFrame, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, n, probe, at, index, shingle): the first shingles of each text, the common ones last, with their positions.
-
-    Of two sets as similar as `least` the smaller has a common shingle among its first n - 2t/(1+t) n (`index`), the larger among its first n - t n.
-    """
-    classes, counts = common
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for t in as_bytes(batch.column("text")):
-                own = _set_of(t, shingle)
-                n = len(own)
-                if not n:
-                    continue
-                often = np.zeros(n, np.int64)
-                if len(classes):
-                    at = np.minimum(np.searchsorted(classes, own & (COMMON - 1)), len(classes) - 1)
-                    often = np.where(classes[at] == own & (COMMON - 1), counts[at], 0)
-                probe = n - int(np.ceil(least * n - 1e-9)) + 1
-                index = n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1
-                first = own[np.lexsort((own, often))[:probe]]
-                node = int.from_bytes(xxhash.xxh3_128_digest(b" ".join(t.lower().split()))[:8], "little", signed=True)
-                k = len(first)
-                parts.append((np.full(k, node), np.full(k, n), np.full(k, k), np.arange(k), np.arange(k) < index, first))
-            if parts:
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                kinds = [np.int64, np.int32, np.int32, np.int32, bool, np.int64]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "probe", "at", "index", "shingle"])
-
-    return texts.select("text").mapInArrow(run, "node long, n int, probe int, at int, index boolean, shingle long")
-
-
-def _links(texts: DataFrame, classes: DataFrame, near: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links that connect all similar texts of `texts` (node, text: one of each class), exactly.
-
-    Pairs `near` (x, y) by fingerprint, and members of a shingle's bucket with its most ordinary member, are verified first. What that joins is one
-    component; only buckets that still hold several are compared in full, between components.
-    """
-    keys = _prefixes(texts, shingle, least, _common(texts, shingle))
-    # made anew for both uses: most shingles are found once and go with this count
-    met = keys.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("shingle")
-    keys = materialise(keys.join(met, "shingle", "left_semi").distinct())
-    ordinary = keys.groupBy("node").agg((F.max("probe") - F.count(F.lit(1))).alias("alone"))
-    order = F.struct((F.col("alone") / F.col("probe")).alias("rare"), "node", "n")
-    heads = keys.join(ordinary, "node").groupBy("shingle").agg(F.min(order).alias("head"))
-    small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
-    stars = keys.join(heads, "shingle").filter(F.col("node") != F.col("head.node")).filter(small >= F.lit(least - 1e-9) * large)
-    stars = stars.select(F.least("node", "head.node").alias("x"), F.greatest("node", "head.node").alias("y"))
-    first = materialise(_verified(stars.union(near).distinct(), texts, classes, shingle, least))
-    roots = components(first)
-    named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "n", "at", "shingle", "index", "root")
-    open_buckets = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    named = materialise(named.join(open_buckets, "shingle", "left_semi"))
-    t = least / (1 + least)
-    smaller = named.filter("index").select(F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("root").alias("x_root"), "shingle")
-    larger = named.select(F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("at").alias("y_at"), F.col("root").alias("y_root"), F.col("shingle").alias("y_shingle"))
-    fits = (
-        (smaller["shingle"] == larger["y_shingle"]) & (F.col("x_root") != F.col("y_root")) & (F.col("x_n") <= F.col("y_n")) & (F.col("x_n") >= F.lit(least - 1e-9) * F.col("y_n"))
-        # what is left of both from here on has to hold the overlap that the similarity asks for
-        & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= F.lit(t) * (F.col("x_n") + F.col("y_n")) - 1e-6)
-    )
-    rest = smaller.join(larger, fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return first.union(_verified(rest, texts, classes, shingle, least))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Of `pairs` (x, y), the similar ones. Sets are made of their texts only."""
-    pairs = materialise(pairs)
-    asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(classes.select("node", "doc_id", "row_hash"), "node")
-    asked = materialise(asked.withColumn("h", F.xxhash64("doc_id", "row_hash")))
-    body = with_bit(texts, "_h", asked, "h").filter("_bit")
-    found = body.join(asked, body["_id"].eqNullSafe(asked["doc_id"]) & (body["_hash"] == asked["row_hash"])).select("node", "text")
-    # rows that repeat doc_id and text would repeat their pairs
-    sets = materialise(_shingles(found, shingle).dropDuplicates(["node"]))
-    return _similar(pairs, sets, least)
+def _near(classes: DataFrame, crowd: int) -> DataFrame:
+    """(x, y): each class with one whose fingerprint is equal or within two bits, if there is any. The join needs no more, since it finds all links itself."""
+    prints = materialise(classes.groupBy("fingerprint").agg(F.min("node").alias("least")))
+    meet = close_links(prints, crowd).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
+    near = meet.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("x", "y")
+    same = classes.join(prints, "fingerprint").filter("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    return near.union(same)
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_hash, keep_id, keep_hash) of each document: the first (smallest doc_id) of its group.
 
     Two texts are linked when the sets of their `shingle`-word shingles (words end at ASCII white space, A-Z lower-cased; fewer words are one
-    shingle) have a Jaccard similarity of `least` or more; chains of links make a group. Equal word sequences, those without
+    shingle) have a Jaccard similarity of `least` or more; chains of links make a group. Equal sets, those without
     words too, are one class from the start. Null texts are empty. A null doc_id is smaller than any other. Rows that repeat doc_id and text
     are one document. An empty table gives no rows.
 
     Fingerprints are SimHashes of distinct words; those within two bits of each other meet by their Golay keys (`crowd` as in `close_links`).
-    All classes then go through an exact prefix filter, so that no pair depends on bits, keys or sizes of buckets: fingerprints only
-    join early what would be compared later.
+    All classes then go through the exact Jaccard join, so that no pair depends on bits, keys or sizes of buckets: fingerprints only
+    join early what would be compared later. Texts themselves travel nowhere, sets only where a pair is verified.
     """
-    rows = materialise(_prints(docs, doc_id, text))
-    order = F.struct("doc_id", "row_hash")
-    classes = rows.groupBy("a", "b").agg(F.min(order).alias("first"), F.min("fingerprint").alias("fingerprint"))
-    classes = materialise(classes.select(F.col("a").alias("node"), "b", "first.doc_id", "first.row_hash", "fingerprint"))
-    prints = materialise(classes.groupBy("fingerprint").agg(F.min("node").alias("least")))
-    meet = close_links(prints, crowd)
-    near = meet.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    same = classes.join(prints, "fingerprint").filter("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
-    # one text of each class: the other rows of a class are few and left out
-    firsts = classes.select(F.col("node").alias("a"), "b", F.col("doc_id").alias("_first"), F.col("row_hash").alias("_first_hash"))
-    copies = rows.join(firsts, ["a", "b"]).filter(~(F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("row_hash") == F.col("_first_hash"))))
-    copies = materialise(copies.select(F.col("doc_id").alias("c_id"), F.col("row_hash").alias("c_hash")).distinct().withColumn("h", F.xxhash64("c_id", "c_hash")))
-    body = docs.select(F.col(doc_id).alias("_id"), _hash_of(text).alias("_hash"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("_id", "_hash"))
-    marked = with_bit(body, "_h", copies, "h")
-    other = marked.filter("_bit").join(copies, F.col("_id").eqNullSafe(F.col("c_id")) & (F.col("_hash") == F.col("c_hash")), "left_anti")
-    texts = marked.filter("NOT _bit").union(other).drop("_bit")
-    roots = components(_links(texts, classes, near.union(same), shingle, least))
-    named = materialise(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "b", "doc_id", "row_hash", "root"))
-    heads = named.groupBy("root").agg(F.min(order).alias("head"))
-    named = named.join(heads, "root").select(F.col("node").alias("a"), "b", F.col("head.doc_id").alias("keep_id"), F.col("head.row_hash").alias("keep_hash"))
-    return rows.join(named, ["a", "b"]).select("doc_id", "row_hash", "keep_id", "keep_hash")
+    rule = Similarity(Fraction(str(least)), STEP)
+    rows = materialise(_prints(docs, shingle, rule, doc_id, text))
+    first = F.min(F.struct("doc_id", "row_hash")).alias("first")
+    classes = materialise(rows.groupBy("node").agg(first, F.max("n").alias("n"), F.max("k").alias("k"), F.min("fingerprint").alias("fingerprint")))
+    worded = classes.filter("n > 0")
+    links = jaccard_links(docs, worded.select("node", "k"), shingle, rule, text=text, near=_near(worded, crowd))
+    named = materialise(classes.join(components(links), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    heads = named.groupBy("root").agg(F.min("first").alias("head"))
+    named = named.join(heads, "root").select("node", F.col("head.doc_id").alias("keep_id"), F.col("head.row_hash").alias("keep_hash"))
+    return rows.join(named, "node").select("doc_id", "row_hash", "keep_id", "keep_hash")
 
 
 def first_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

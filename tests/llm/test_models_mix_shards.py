@@ -2,13 +2,14 @@
 
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from odd_documents import SF, odd_table
 from pyspark.sql import functions as F
 
-from gyratory.llm import kd_shards, near_copies, passage_quality, queries, raking, severity, token_spans
+from gyratory.llm import jaccard_join, kd_shards, near_copies, passage_quality, queries, raking, severity, token_spans
 from gyratory.llm.golay_simhash import simhash
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "é" * 5000), (5, "a b c d e f"), (5, "a b c d e f"), (None, "A b c d e f"), (6, "x " * 60_000), (7, "one\n\ntwo")]
@@ -255,3 +256,13 @@ def test_unnamed_values_keep_a_chance(spark, sweeps):
     share = {la: sum(r["tokens"] * r["probability"] for r in rows if r["lang"] == la) / sum(r["tokens"] * r["probability"] for r in rows) for la in ("", "ja")}
     assert len(rows) == 700 and all(r["probability"] > 0.1 for r in rows)
     assert share == pytest.approx({"": 2 / 7, "ja": 1 / 7}, abs=0.02)
+
+
+def test_near_copies_give_few_keys_and_unrelated_sets_share_none(spark):
+    rule, rng = jaccard_join.Similarity(Fraction(4, 5), near_copies.STEP), np.random.default_rng(10)
+    seen = {}
+    for n in (*range(100, 400, 7), *range(1000, 1700, 70)):
+        members = np.sort(rng.integers(1, 1 << 63, n).astype(np.uint64))
+        keys = np.concatenate([jaccard_join.slice_keys(members, level) for level in rule.levels(n)])
+        assert len(keys) <= rule.slices(n) < 0.8 * n and not seen.keys() & set(keys.tolist())
+        seen |= dict.fromkeys(keys.tolist())
