@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bins of a refinement, and values of a bin that are few enough to be told one by one.
@@ -33,21 +33,28 @@ class Span:
         return np.clip(np.nan_to_num(at), 0, BINS - 1).astype(np.int64)
 
     def inside(self, values: np.ndarray) -> np.ndarray:
+        """Places of the values that lie in the span."""
+        at = np.arange(len(values))
         for low, high, number in self.chain:
-            values = values[self.bins(values, low, high) == number]
-        return values
+            at = at[self.bins(values[at], low, high) == number]
+        return at
 
 
-def _pass(numbers: DataFrame, names: list[str], spans: list[Span]) -> dict[int, list[tuple[float, int]]]:
+def _pass(numbers: DataFrame, names: list[str], spans: list[Span], weighted: bool) -> dict[int, list[tuple[float, int]]]:
     """Of each span the counts of its bins, or of its values where they are few, in order. One scan, one shuffle of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots, keys, counts = [], [], []
             for i, span in enumerate(spans):
-                values = batch.column(names[span.column]).drop_null().to_numpy(zero_copy_only=False)
-                values = span.inside(values[~np.isnan(values)])
-                key, n = np.unique(values if span.count <= FEW else span.bins(values, span.low, span.high).astype(float), return_counts=True)
+                values = batch.column(names[span.column]).to_numpy(zero_copy_only=False).astype(float)
+                known = np.flatnonzero(~np.isnan(values))
+                known = known[span.inside(values[known])]
+                values = values[known]
+                key, place, n = np.unique(values if span.count <= FEW else span.bins(values, span.low, span.high).astype(float), return_inverse=True, return_counts=True)
+                if weighted:
+                    n = np.zeros(len(key), np.int64)
+                    np.add.at(n, place, batch.column("_weight").to_numpy()[known])
                 slots.append(np.full(len(key), i))
                 keys.append(key)
                 counts.append(n)
@@ -66,19 +73,24 @@ def _edge(low: float, high: float, number: int) -> tuple[float, float]:
     return 2 * (low / 2 + width * (number / BINS)), 2 * (low / 2 + width * ((number + 1) / BINS))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> list[list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], weight: str | None = None) -> list[list[float | None]]:
     """Of each column the quantile of each of `probs`, exact, linear between neighbouring values; None where a column has no value.
 
-    Nulls and NaN are missing values. All columns are read together: their ranges first, then the counts of BINS bins, of which only the one that holds a
+    A row counts as often as its whole number `weight` says. Nulls and NaN are missing values. All columns are read together: their ranges first, then the counts of BINS bins, of which only the one that holds a
     wanted rank is refined, until it has few values. Rows are never sorted, repeated by column or sent anywhere; what is
     shuffled and reaches the driver is at most BINS or FEW counts for each column and wanted rank, whatever the table holds.
     """
     names = [f"_c{i}" for i in range(len(columns))]
-    numbers = df.select([F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
+    often = [F.col(weight).cast("long").alias("_weight")] if weight else []
+    numbers = df.select([F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)] + often)
     if not names:
         return []
     known = [F.when(~F.isnan(n), F.col(n)) for n in names]
-    ends = numbers.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(known) for k, f in (("n", F.count), ("a", F.min), ("z", F.max))]).first()
+
+    def count(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(c.isNotNull(), F.col("_weight"))), F.lit(0)) if weight else F.count(c)
+
+    ends = numbers.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(known) for k, f in (("n", count), ("a", F.min), ("z", F.max))]).first()
     value: dict[tuple[int, int], float] = {}
     wanted: list[tuple[Span, list[int]]] = []
     for i in range(len(names)):
@@ -90,7 +102,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             wanted.append((Span(i, low, high, 0, n), rest))
     while wanted:
         # infinite ends have no bins, so their values are told one by one
-        found = _pass(numbers, names, [span for span, _ in wanted])
+        found = _pass(numbers, names, [span for span, _ in wanted], weight is not None)
         later: list[tuple[Span, list[int]]] = []
         for i, (span, ranks) in enumerate(wanted):
             at, parts = span.before, {}

@@ -11,6 +11,7 @@ from gyratory.constants import MISSING, PHASES, SHIFT
 from gyratory.functions import ordered
 from gyratory.functions.quantiles import exact_quantiles
 from gyratory.functions.scalars import label_encode, parse_submission_id
+from gyratory.session import materialise
 
 SERIES = ["view_label", "ID_type"]
 
@@ -99,6 +100,28 @@ def shift_features(
     )
 
 
+def used_features(rows: DataFrame, windows: DataFrame, key: str) -> list[str]:
+    """G3 for features that rows take from their window (`key`): names of those with a value in any row."""
+    names = candidate_features(windows)
+    used = windows.join(rows.select(key).distinct(), key, "left_semi")
+    counts = used.agg(*[F.count(c).alias(c) for c in names]).first() if names else {}
+    return sorted(c for c in names if counts[c])
+
+
+def shift_windows(
+    df: DataFrame, features: Sequence[str], windows: DataFrame, wide: Sequence[str], key: str, periods: int, order: Sequence[str]
+) -> DataFrame:
+    """G5 for rows whose features `wide` are those of a window: its number `key` is shifted in their place and kept beside `features`."""
+    complete = F.lit(True)
+    for c in wide:
+        complete = complete & F.col(c).isNotNull()
+    whole = windows.select(key, complete.alias("_whole"))
+    # a number stands for a window where all its features are known, and is null elsewhere, so that incomplete rows leave as in G5
+    known = df.join(whole, key, "left").withColumn("_known", F.when(F.col("_whole"), F.col(key))).drop("_whole") if wide else df.withColumn("_known", F.lit(0))
+    shifted = shift_features(known.withColumn("_any", F.struct(key)), [*features, "_known", "_any"], periods, order)
+    return shifted.withColumn(key, F.col("_any").getField(key)).drop("_known", "_any")
+
+
 def split_by_phase(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training, validation and test rows."""
     return tuple(df.filter(F.col("cycle_phase") == phase) for phase in PHASES)
@@ -111,8 +134,19 @@ def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
 
 def fill_with_train_median(test: DataFrame, train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Nulls of the test rows replaced by training medians (one number per feature)."""
-    known = medians(train, features)
-    return test.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(known[c]).cast("double")) for c in features})
+    return filled(test, medians(train, features))
+
+
+def filled(test: DataFrame, known: dict[str, float | None]) -> DataFrame:
+    """Nulls replaced by the given numbers."""
+    return test.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double")) for c, v in known.items()})
+
+
+def medians_of_windows(df: DataFrame, features: Sequence[str], windows: DataFrame, wide: Sequence[str], key: str) -> dict[str, float | None]:
+    """Exact medians of `features` over the rows, and of `wide` over the windows of the rows, each as often as rows name it."""
+    counted = materialise(windows.join(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key).select("_n", *wide))
+    weighted = zip(wide, (q[0] for q in exact_quantiles(counted, wide, [0.5], "_n")), strict=True)
+    return medians(df, features) | dict(weighted)
 
 
 def current_state(df: DataFrame) -> DataFrame:

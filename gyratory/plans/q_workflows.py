@@ -39,7 +39,8 @@ SELECT ID, cycle_phase, congestion_rating, {', '.join(
     f"R(CASE WHEN cycle_phase = 'test_output_5' THEN coalesce({c}::DOUBLE, m_{c}) ELSE {c} END) AS {c}" for c in FEATURES)}
 FROM t_shifted, m""")
 def ep2(spark, sf):
-    rows = I.ratings(spark, sf)
+    # read by each of the parts
+    rows = materialise(I.ratings(spark, sf))
     template = P.to_long(rows.filter("cycle_phase = 'test_output_5'")).select(
         "ID", F.lit("x").alias("Target"), F.lit("x").alias("Target_Accuracy"))
     out = FL.forecasting_dataset(rows.filter("cycle_phase = 'train'"), rows.filter("cycle_phase = 'test_input_15'"), template)
@@ -68,7 +69,8 @@ SELECT ID, cycle_phase, congestion_rating, {', '.join(
     f"R(CASE WHEN cycle_phase = 'test_output_5' THEN coalesce({c}::DOUBLE, m_{c}) ELSE {c} END) AS {c}" for c in _WITH)}
 FROM t_shifted_features, m""")
 def ep2_features(spark, sf):
-    rows = I.ratings(spark, sf)
+    # read by each of the parts
+    rows = materialise(I.ratings(spark, sf))
     template = P.to_long(rows.filter("cycle_phase = 'test_output_5'")).select("ID", F.lit("x").alias("Target"), F.lit("x").alias("Target_Accuracy"))
     numbers = materialise(every_number(spark, sf).select("video_ts", "window_idx", *_STEADY))
     out = FL.forecasting_dataset(rows.filter("cycle_phase = 'train'"), rows.filter("cycle_phase = 'test_input_15'"), template, features=numbers, window=8)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyratory.constants import SHIFT, WINDOW_SECONDS
+from gyratory.constants import PHASES, SHIFT, WINDOW_SECONDS
+from gyratory.functions.ordered import checked_broadcast
 from gyratory.functions.scalars import add_time_features, encode_by_first_appearance, encode_congestion
 from gyratory.operators import fusion, labels, prep, sequences, windows
 from gyratory.session import materialise
@@ -41,18 +42,32 @@ def forecasting_dataset(
     """Label records, test segments and a submission template -> shifted training, validation and test rows.
 
     `features` are window features joined by video timestamp; every window of a video then gives a row, or only the one with the index `window`.
+    Rows are joined, shifted and counted with the number of their window alone, which gets its features at the end.
     """
+    numbered = keys = None
     if features is not None:
-        train, test = (labels.join_features_on_timestamp(df, features, window) for df in (train, test))
+        side = features if window is None else features.filter(F.col("window_idx") == window)
+        numbered = materialise(side.withColumn("_window", F.monotonically_increasing_id()))
+        keys = checked_broadcast(numbered.select(*[c for c in numbered.columns if c in ("video_ts", "window_idx", "_window")]))
+        train, test = (labels.join_features_on_timestamp(df, keys) for df in (train, test))
     train, test = (add_time_features(df) for df in (train, test))
     train, test = encode_by_first_appearance(train, test, "signaling", order)
     long = prep.to_long(train.unionByName(test, allowMissingColumns=True))
     full = materialise(prep.append_template(long, template))
-    names = prep.select_features(full)
     series = ["time_segment_id", *[c for c in ("window_idx",) if c in full.columns], "ID"]
-    shifted = materialise(prep.shift_features(full, names, periods, series))
-    training, validation, testing = prep.split_by_phase(shifted)
-    return ForecastingTables(training, validation, prep.fill_with_train_median(testing, training, names), names)
+    if numbered is None:
+        names = prep.select_features(full)
+        shifted = materialise(prep.shift_features(full, names, periods, series))
+        training, validation, testing = prep.split_by_phase(shifted)
+        return ForecastingTables(training, validation, prep.fill_with_train_median(testing, training, names), names)
+    numbered = checked_broadcast(numbered.drop(*[c for c in numbered.columns if c in full.columns and c != "_window"]))
+    own, wide = prep.select_features(full.drop("_window")), prep.used_features(full, numbered, "_window")
+    shifted = materialise(prep.shift_windows(full, own, numbered, wide, "_window", periods, series))
+    known = prep.medians_of_windows(shifted.filter(F.col("cycle_phase") == PHASES[0]), own, numbered, wide, "_window")
+    names = sorted([*own, *wide])
+    rows = shifted.join(numbered.select("_window", *wide), "_window", "left").drop("_window")
+    training, validation, testing = prep.split_by_phase(rows.select("ID", "cycle_phase", "congestion_rating", *prep.SERIES, *names))
+    return ForecastingTables(training, validation, prep.filled(testing, known), names)
 
 
 def sequence_dataset(

@@ -69,3 +69,10 @@ def test_correlation_matrix(spark, monkeypatch, block):
             else:
                 assert r["correlation"] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
     assert gram.correlation_matrix(table(spark, columns()), []).count() == 0
+
+
+def test_quantiles_of_weighted_rows(spark):
+    rows = [(float(i % 97) if i % 5 else None, 1 + i % 4 * 3000) for i in range(300)]
+    repeated = sorted(v for v, n in rows if v is not None for _ in range(n))
+    got = quantiles.exact_quantiles(spark.createDataFrame(rows, "v double, n int"), ["v"], [0.0, 0.5, 0.9, 1.0], "n")[0]
+    assert got == pytest.approx(np.quantile(repeated, [0.0, 0.5, 0.9, 1.0]).tolist())
