@@ -30,6 +30,8 @@ HOT, SAMPLE, HOT_ROWS, SALTS = 4096, 32, 100, 64
 STARS, PLACE = 4, 250
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN, _PIECE = 1 << 19, 1 << 20
+#: Numbers that a batch of keys or sets is given on with, so that neither side of the exchange holds those of all its rows.
+_GIVEN = 1 << 17
 
 
 def _chained(hashes: np.ndarray, words: int, n: int) -> np.ndarray:
@@ -220,13 +222,17 @@ def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:
-            nodes, sets = [], []
+            nodes, sets, held = [], [], 0
             for members in shingle_sets(as_bytes(batch.column("text")), size):
                 node = name_of(members)
                 if len(members) and node not in given:
                     given.add(node)
                     nodes.append(node)
                     sets.append(members.tobytes())
+                    held += len(members)
+                if held > _GIVEN:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                    nodes, sets, held = [], [], 0
             if len(given) > _KNOWN:
                 given.clear()
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
@@ -243,11 +249,18 @@ def _asked(docs: DataFrame, nodes: DataFrame, size: int, text: str) -> DataFrame
 def _keys(docs: DataFrame, size: int, rule: Similarity, text: str, hot: Broadcast | None) -> DataFrame:
     """(key, node): the keys of all slices. Keys of `hot` (sorted) are dealt over SALTS keys made of them."""
 
+    def dealt(keys: list[np.ndarray], nodes: list[np.ndarray], many: np.ndarray) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        if len(many):
+            at = np.minimum(np.searchsorted(many, key), len(many) - 1)
+            key = np.where(many[at] == key, _salted(key, (node & (SALTS - 1)).astype(np.uint64)), key)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], names=["key", "node"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         many = hot.value if hot else np.zeros(0, np.uint64)
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, held = [], [], 0
             for members in shingle_sets(as_bytes(batch.column("text")), size):
                 node = name_of(members)
                 if not len(members) or node in given:
@@ -258,15 +271,14 @@ def _keys(docs: DataFrame, size: int, rule: Similarity, text: str, hot: Broadcas
                         made = slice_keys(members, level)
                         nodes.append(np.full(len(made), node))
                         keys.append(made)
+                        held += len(made)
+                if held > _GIVEN:
+                    yield dealt(keys, nodes, many)
+                    nodes, keys, held = [], [], 0
             if len(given) > _KNOWN:
                 given.clear()
-            if not keys:
-                continue
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            if len(many):
-                at = np.minimum(np.searchsorted(many, key), len(many) - 1)
-                key = np.where(many[at] == key, _salted(key, (node & (SALTS - 1)).astype(np.uint64)), key)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], names=["key", "node"])
+            if keys:
+                yield dealt(keys, nodes, many)
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, node long")
 

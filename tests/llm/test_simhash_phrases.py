@@ -37,6 +37,22 @@ def test_components(spark, seed):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 7, 30, 1000])
+def test_components_of_blocks(spark, block):
+    """Blocks of any size give the same; links that fit one block take a job or two, whatever the chain, where rounds of stars took dozens of stages."""
+    rng = random.Random(block)
+    links = [(i + 1, i) for i in range(60)] + [(500 - i, 0) for i in range(40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)]
+    rng.shuffle(links)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"blocks-{block}", "components")
+    found = components(spark.createDataFrame(links, "a long, b long").repartition(5), block)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = united({x for p in links for x in p}, links)
+    assert sorted((r["node"], r["root"]) for r in found.collect()) == sorted((n, r) for n, r in want.items() if n != r)
+    if block == 1000:
+        assert len(tracker.getJobIdsForGroup(f"blocks-{block}")) <= 8
+
+
 def test_golay_keys_share():
     code, rng = golay_simhash.Golay(), np.random.default_rng(3)
     words = rng.integers(0, 1 << 23, 3000)
