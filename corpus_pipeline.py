@@ -38,7 +38,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Extra columns, whatever their names, are kept.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows, own = carried(docs, "doc_id", "text")
+    # whole texts go to Python and back, so they go once
+    rows, own = carried(docs, "doc_id", "text", once=["text"])
     clean = decontaminate.find_phrases(rows, items, size=10, clean=True)
     left = F.size("spans") == 0
     clean = clean.filter(left | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))

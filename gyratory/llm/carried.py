@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,13 @@ def _named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def carried(docs: DataFrame, *needed: str) -> tuple[DataFrame, str]:
-    """(`needed` columns and one struct of all columns of `docs`, the struct's name): no other column can meet a name that an operator uses inside."""
+def carried(docs: DataFrame, *needed: str, once: Collection[str] = ()) -> tuple[DataFrame, str]:
+    """(`needed` columns and one struct of all columns of `docs`, the struct's name): no other column can meet a name that an operator uses inside.
+
+    Columns named in `once` are not in the struct; `restored` has to be given them.
+    """
     name = f"_all_{uuid.uuid4().hex}"
-    return docs.select(*[_named(c) for c in needed], F.struct(*[_named(c) for c in docs.columns]).alias(name)), name
+    return docs.select(*[_named(c) for c in needed], F.struct(*[_named(c) for c in docs.columns if c not in once]).alias(name)), name
 
 
 def restored(rows: DataFrame, name: str, columns: list[str], **changed: Column) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyratory.llm.blocks import Words, as_bytes, cut
+from gyratory.llm.blocks import Words, as_bytes, pieces
 from gyratory.llm.fm_index import FMIndex
 
 #: Bytes of benchmark text that a job carries to its tasks; a larger benchmark is searched for block by block.
@@ -119,6 +119,27 @@ def cleaned(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join([*out, text[at:]])
 
 
+def shards_searched(batches: Iterable[pa.RecordBatch], phrases: Phrases, shard_bytes: int, sample: int = 8, text: str = "text", first: bool = True, clean: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` with their results, shard by shard: what is found is added to earlier results unless it is the `first`; with `clean`, texts lose the spans."""
+    names = [c for c, _ in _FIELDS]
+    for batch in batches:
+        for shard in pieces(batch, text, shard_bytes):
+            texts = as_bytes(shard.column(text))
+            made = _search_shard(texts, phrases, sample)
+            if not first:
+                olds = zip(*[shard.column(c).to_pylist() for c in names], strict=True)
+                olds = [(a, b, c, [(x["start"], x["end"]) for x in d]) for a, b, c, d in olds]
+                made = [_merged(o, m, t) if o[3] or m[3] else m for o, m, t in zip(olds, made, texts, strict=True)]
+            arrays = {c: shard.column(c) for c in shard.schema.names if c not in names}
+            if clean:
+                null = shard.column(text).is_null().to_pylist()
+                body = [None if x else cleaned(t, m[3]) for t, m, x in zip(texts, made, null, strict=True)]
+                arrays[text] = pa.array(body, pa.binary()).cast(pa.string())
+            columns = zip(*made, strict=True)
+            results = [pa.array([[{"start": s, "end": e} for s, e in x] for x in v] if n == "spans" else v, kind) for (n, kind), v in zip(_FIELDS, columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays.values(), *results], names=[*arrays, *names])
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
     """Test items in blocks of at most about `limit` bytes, one block on the driver at a time."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.encode(F.col(text), "UTF-8").alias("text")).dropna()
@@ -141,12 +162,11 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: st
     has no words and stays null; items with a null or without words have no window. Each row is judged alone; repeated ones alike.
 
     A task cuts its Arrow batches into shards of about `shard_bytes` (a longer text is a shard of its own), builds the FM-index of each shard over item
-    vocabulary numbers, and searches all windows together. Nothing is shuffled. The benchmark goes to the tasks in blocks
+    vocabulary numbers, searches all windows together and hands the shard's rows on before the next. Nothing is shuffled. The benchmark goes to the tasks in blocks
     of `phrase_bytes`, however large it is; one block is one pass over the documents.
     """
     names = [c for c, _ in _FIELDS]
     base = docs.drop(*[c for c in names if c in docs.columns])
-    kept = base.columns
     # earlier blocks' results, in a column of their own while there are further blocks
     blocks = _blocks(benchmark, item_id, item_text, phrase_bytes)
     block = next(blocks, [])
@@ -159,23 +179,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: st
         final = clean and following is None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, final=final) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, size)
-            for batch in batches:
-                texts, made = as_bytes(batch.column(text)), []
-                for start, stop in cut(texts, shard_bytes):
-                    made += _search_shard(texts[start:stop], phrases, sample)
-                if not first:
-                    olds = zip(*[batch.column(c).to_pylist() for c in names], strict=True)
-                    olds = [(a, b, c, [(x["start"], x["end"]) for x in d]) for a, b, c, d in olds]
-                    made = [_merged(o, m, t) if o[3] or m[3] else m for o, m, t in zip(olds, made, texts, strict=True)]
-                arrays = {c: batch.column(c) for c in kept}
-                if final:
-                    null = batch.column(text).is_null().to_pylist()
-                    body = [None if x else cleaned(t, m[3]) for t, m, x in zip(texts, made, null, strict=True)]
-                    arrays[text] = pa.array(body, pa.binary()).cast(pa.string())
-                columns = list(zip(*made, strict=True)) if made else [[]] * len(names)
-                results = [pa.array([[{"start": s, "end": e} for s, e in x] for x in v] if n == "spans" else v, kind) for (n, kind), v in zip(_FIELDS, columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays.values(), *results], names=[*kept, *names])
+            return shards_searched(batches, Phrases(shared.value, size), shard_bytes, sample, text, first, final)
 
         out = out.mapInArrow(run, schema)
         block, first = following, False

@@ -39,6 +39,14 @@ def extras_kept(rows):
     return all(r[n] == v for r in rows for n, v in zip(names, CLASH) if n != "shard")
 
 
+def test_benchmark_sends_texts_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(corpus_pipeline.decontaminate, "find_phrases", lambda docs, *a, **k: seen.append(docs) or find_phrases(docs, *a, **k))
+    rows = corpus_pipeline.benchmark(spark, odd(spark, ROWS), SF).collect()
+    assert len(rows) == len(ROWS) and extras_kept(rows)
+    assert seen[0].schema.simpleString().count("text:string") == 2  # the text, and the column _text of the odd rows
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_of_odd_rows(spark, name, item):
     stage = dict(corpus_pipeline.STAGES)[name]

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_documents import odd_table
 from pyspark.sql import functions as F
@@ -160,6 +161,17 @@ def test_find_phrases(spark, phrase_bytes, shard):
             assert r["text"] == by_text[r["doc_id"]]
 
 
+def test_shards_of_a_batch_leave_one_by_one():
+    """A task must not keep the results of a whole batch until its last row is judged."""
+    texts = [f"{i} a b c d {'z' * 900}" for i in range(100)] + [None, "", "y" * 20_000, "a b c d"]
+    batch = pa.record_batch({"id": pa.array(range(len(texts))), "text": pa.array(texts), "all": pa.array([{"n": i, "s": t} for i, t in enumerate(texts)])})
+    made = list(decontaminate.shards_searched(iter([batch, batch.slice(0, 0)]), decontaminate.Phrases([("1", b"A b c d")], 4), 8_000, clean=True))
+    assert len(made) >= 13 and all(m.num_rows == 1 or sum(len(t or "") for t in m.column("text").to_pylist()) <= 8_000 for m in made)
+    rows = pa.Table.from_batches(made).to_pylist()
+    assert [(r["id"], r["all"]) for r in rows] == [(i, {"n": i, "s": t}) for i, t in enumerate(texts)]
+    assert [r["n_hit"] for r in rows] == [4] * 100 + [0, 0, 0, 4] and rows[100]["text"] is None and rows[7]["text"] == f"7 \n {'z' * 900}"
+
+
 def test_find_phrases_in_nothing(spark):
     none, some = spark.createDataFrame([], "item_id long, text string"), odd_table(spark, [(1, "a b")])
     assert [r["n_hit"] for r in decontaminate.find_phrases(some, none).collect()] == [0]
