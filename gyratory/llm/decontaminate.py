@@ -154,7 +154,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
         yield block
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", clean: bool = False, shard_bytes: int = 4 << 20, sample: int = 8, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
+def find_phrases(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", clean: bool = False, shard_bytes: int = 2 << 20, sample: int = 8, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
     """`docs` with n_words, n_hit, items and spans, which replace columns of these names; with `clean`, the text without the spans.
 
     Words are runs of ASCII digits, ASCII letters (lower-cased) and characters beyond ASCII. A window is `size` consecutive words of an item, or
