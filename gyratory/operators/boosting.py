@@ -20,8 +20,12 @@ UNIT = float(1 << 24)
 KEEP = 20
 #: Partitions whose histograms the driver adds itself; more are merged in the cluster first.
 FEW = 16
-#: Rows of a partition of the binned table, at least.
+#: Rows of a partition of the binned table where there are more than the cores take.
 PART = 20_000
+#: Rows for which a partition, and so another core, is worth its task.
+SHARE = 2_000
+#: Bytes of the histograms of a pass that the driver adds itself, at most.
+ADDED = 1 << 27
 
 
 def _matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
@@ -116,8 +120,27 @@ class Trees:
             at = np.where(inner, 2 * at + 1 + right, at)
         return at
 
+    def full(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature, last bin of the left side, value) of the same trees without early leaves: those send all rows left and hand their value down."""
+        feature, cut, value = self.feature.astype(np.int64), self.bin.astype(np.int64), self.value.copy()
+        for level in range(depth):
+            at = np.arange((1 << level) - 1, (1 << level + 1) - 1)
+            leaf = feature[:, at] < 0
+            feature[:, at], cut[:, at] = np.where(leaf, 0, feature[:, at]), np.where(leaf, 255, cut[:, at])
+            for side in (1, 2):
+                value[:, 2 * at + side] = np.where(leaf, value[:, at], value[:, 2 * at + side])
+        return feature, cut, value
+
     def scores(self, x: np.ndarray, depth: int) -> np.ndarray:
-        return np.stack([self.value[k][self.nodes(x, k, depth)] for k in range(len(self.value))], axis=1)
+        """Values (row, tree) of the leaves that the rows of the binned `x` reach, for all trees together."""
+        feature, cut, value = self.full(depth)
+        # no copy where `x` lies by row, as in the binned table
+        values, start = np.ascontiguousarray(x.T).ravel(), np.arange(x.shape[1]) * x.shape[0]
+        first, at = np.arange(len(feature))[:, None] * feature.shape[1], np.zeros((len(feature), x.shape[1]), np.int64)
+        for _ in range(depth):
+            here = at + first
+            at = 2 * at + 1 + (values.take(feature.take(here) + start) > cut.take(here))
+        return np.take_along_axis(value, at, axis=1).T
 
 
 def judged(probs: np.ndarray, classes: list[int]) -> list[pa.Array]:
@@ -153,7 +176,7 @@ class Booster:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = sent.value
             for batch in batches:
-                x = model.bins.bins(_matrix(batch, names))
+                x = np.asfortranarray(model.bins.bins(_matrix(batch, names)))
                 scores = np.tile(model.base, (batch.num_rows, 1))
                 for trees in model.rounds:
                     scores += trees.scores(x, model.depth)
@@ -175,9 +198,13 @@ def class_counts(df: DataFrame, label: str) -> dict[int, int]:
     return dict(sorted((int(c), int(n)) for c, n in counts))
 
 
-def few_parts(state: DataFrame, rows: int) -> DataFrame:
-    """`state` in no more partitions than give each PART rows: a level of trees is a pass, and small passes cost what their tasks do."""
-    return state.coalesce(max(1, -(-rows // PART)))
+def few_parts(state: DataFrame, rows: int, most: int = FEW) -> DataFrame:
+    """`state` in equal partitions: a level of trees is a pass, and small passes cost what their tasks do.
+
+    Each core gets one while it holds SHARE rows, up to `most`; beyond that a partition holds PART rows.
+    """
+    cores = min(state.sparkSession.sparkContext.defaultParallelism, most)
+    return state.repartition(max(1, -(-rows // PART), min(cores, -(-rows // SHARE))))
 
 
 def best_splits(worth: Callable[[np.ndarray], np.ndarray], room: Callable[[np.ndarray], np.ndarray], histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,16 +223,20 @@ def best_splits(worth: Callable[[np.ndarray], np.ndarray], room: Callable[[np.nd
 
 def grow(
     state: DataFrame, columns: Sequence[str], targets: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], trees: Trees, channels: int, features: int, bins: int, depth: int,
-    worth: Callable[[np.ndarray], np.ndarray], room: Callable[[np.ndarray], np.ndarray], value: Callable[[np.ndarray], np.ndarray], unit: float, merge: bool,
+    worth: Callable[[np.ndarray], np.ndarray], room: Callable[[np.ndarray], np.ndarray], value: Callable[[np.ndarray], np.ndarray], unit: float, parts: int,
 ) -> np.ndarray:
-    """Grow all `trees` level by level, a pass over `state` each; returns the gain of each feature.
+    """Grow all `trees` level by level, a pass over the `parts` partitions of `state` each; returns the gain of each feature.
 
     `targets` gives whole numbers by (tree, row, channel) of a batch, of which nodes get sums; `value` makes of a node's sums what its leaf says.
+    A pass sums the lighter side of each split only: the sums are whole, so those of its sibling are exactly what is left of the parent's.
     """
-    gains = np.zeros(features)
+    gains, state = np.zeros(features), state.select(*columns, "x")
+    sums, side = np.zeros(0, np.int64), np.zeros((len(trees.value), 0), np.int8)
     for level in range(depth):
-        sums = _histograms(state, columns, targets, trees, level, channels, features, bins, merge)
+        found = _histograms(state, targets, trees, level, side, channels, features, bins, parts)
+        sums = _both_sides(found, sums, side) if level else found
         first, split = (1 << level) - 1, False
+        side = np.full((len(trees.value), 1 << level), -1, np.int8)
         for k in range(len(trees.value)):
             histogram = sums[k] / unit
             feature, cut, gain = best_splits(worth, room, histogram)
@@ -215,7 +246,9 @@ def grow(
                 at, f, b = first + node, int(feature[node]), int(cut[node])
                 trees.feature[k, at], trees.bin[k, at] = f, b
                 left = histogram[node, f, : b + 1].sum(axis=0)
-                trees.value[k, 2 * at + 1], trees.value[k, 2 * at + 2] = value(left), value(histogram[node, f].sum(axis=0) - left)
+                right = histogram[node, f].sum(axis=0) - left
+                trees.value[k, 2 * at + 1], trees.value[k, 2 * at + 2] = value(left), value(right)
+                side[k, node] = int(np.abs(left).sum() > np.abs(right).sum())
                 gains[f] += gain[node]
                 trees.gain[k] += gain[node] if level == 0 else 0.0
                 split = True
@@ -260,7 +293,7 @@ def fit_booster(
 
     state = materialise(few_parts(given.mapInArrow(start, SCHEMA), total))
     by_class = np.array([weights[c] for c in classes])
-    merge = state.rdd.getNumPartitions() > FEW
+    parts = state.rdd.getNumPartitions()
     fresh: list[Trees] = []
 
     def worth(sums: np.ndarray) -> np.ndarray:
@@ -278,7 +311,7 @@ def fit_booster(
             both = np.stack((weight * (p.T - own), weight * (p * (1 - p)).T), axis=2)
             return np.floor(both * UNIT + 0.5)
 
-        model.gains += grow(state, ["row", "y", "s"], gradients, trees, 2, len(features), bins, depth, worth, lambda sums: sums[..., 1] >= least, lambda sums: -rate * sums[0] / (sums[1] + l2), UNIT, merge)
+        model.gains += grow(state, ["row", "y", "s"], gradients, trees, 2, len(features), bins, depth, worth, lambda sums: sums[..., 1] >= least, lambda sums: -rate * sums[0] / (sums[1] + l2), UNIT, parts)
         model.rounds.append(trees)
         fresh = [*fresh, trees]
         if len(fresh) == KEEP and number + 1 < rounds:
@@ -322,41 +355,71 @@ def chosen(row: np.ndarray, share: float, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) / 2.0**64 < share
 
 
-def _histograms(state: DataFrame, columns: Sequence[str], targets: Callable, trees: Trees, level: int, channels: int, features: int, bins: int, merge: bool) -> np.ndarray:
-    """Whole sums by (tree, node of the level, feature, bin, channel)."""
-    count, nodes, first, size = len(trees.value), 1 << level, (1 << level) - 1, features * bins
+def _both_sides(found: np.ndarray, parents: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Sums of all nodes of a level from those of the side that was counted and those of the parents; children of leaves have none."""
+    out = np.zeros((found.shape[0], 2 * found.shape[1], *found.shape[2:]), np.int64)
+    for k, node in zip(*np.nonzero(side >= 0)):
+        counted = 2 * node + side[k, node]
+        out[k, counted] = found[k, node]
+        out[k, counted ^ 1] = parents[k, node] - found[k, node]
+    return out
+
+
+def _numbers(blob: bytes, count: int) -> np.ndarray:
+    """`count` whole numbers, of four bytes each where they all fit."""
+    return np.frombuffer(blob, np.int64 if len(blob) == 8 * count else np.int32)
+
+
+def _blob(sums: np.ndarray) -> bytes:
+    return sums.astype(np.int32 if np.abs(sums).max(initial=0) < 1 << 31 else np.int64).tobytes()
+
+
+def _histograms(state: DataFrame, targets: Callable, trees: Trees, level: int, side: np.ndarray, channels: int, features: int, bins: int, parts: int) -> np.ndarray:
+    """Whole sums by (tree, node, feature, bin, channel): of the root, and on further levels of the child `side` (0 left, 1 right, -1 none) of each node of the level before."""
+    count, nodes, first, size = len(trees.value), max(1, side.shape[1]), (1 << level) - 1, features * bins
+    cells = channels * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((count, nodes, size, channels))
-        base = (np.arange(features) * bins)[:, None]
+        total, seen = np.zeros((count, channels, nodes * size)), np.zeros((count, nodes), bool)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = binned_rows(batch)
-            wanted, at = targets(batch, x), base + x
+            wanted, at = targets(batch, x), np.arange(features) * bins + x.T
             for k in range(count):
                 node = trees.nodes(x, k, level) - first
+                counts = node >= 0
+                if level:
+                    counts &= (node & 1) == side[k][node >> 1]
+                    node = node >> 1
+                given = wanted[k] != 0
+                used = np.flatnonzero(counts & given.any(axis=1))
+                if not len(used):
+                    continue
+                seen[k, node[used]] = True
+                place = at[used] + (node[used] * size)[:, None]
                 for c in range(channels):
-                    used = np.flatnonzero((node >= 0) & (wanted[k, :, c] != 0))
-                    if len(used):
-                        place = (node[used] * size + at[:, used]).ravel()
-                        sums = np.bincount(place, np.broadcast_to(wanted[k, used, c], (features, len(used))).ravel(), nodes * size)
-                        total[k, ..., c] += sums.reshape(nodes, size)
-        k, node = np.nonzero(np.abs(total).sum(axis=(2, 3)) > 0)
-        blobs = [total[i, j].astype(np.int64).tobytes() for i, j in zip(k.tolist(), node.tolist(), strict=True)]
+                    own = given[used, c]
+                    here = place if own.all() else place[own]
+                    if len(here):
+                        total[k, c] += np.bincount(here.ravel(), np.repeat(wanted[k, used[own], c], features), nodes * size)
+        k, node = np.nonzero(seen)
+        sums = total.reshape(count, channels, nodes, size)
+        blobs = [_blob(sums[i, :, j]) for i, j in zip(k.tolist(), node.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(k * nodes + node), pa.array(blobs, pa.binary())], names=["slot", "sums"])
 
     def merged(rows: pa.Table) -> pa.Table:
-        added = sum(np.frombuffer(b, np.int64) for b in rows.column("sums").to_pylist())
-        return pa.table({"slot": rows.column("slot").slice(0, 1), "sums": pa.array([added.tobytes()], pa.binary())})
-
-    parts = state.select(*columns, "x").mapInArrow(run, "slot long, sums binary")
-    if merge:
-        parts = parts.groupBy("slot").applyInArrow(merged, "slot long, sums binary")
-    out = np.zeros((count * nodes, size, channels), np.int64)
-    for slot, sums in parts.collect():
-        out[slot] += np.frombuffer(sums, np.int64).reshape(size, channels)
-    return out.reshape(count, nodes, features, bins, channels)
+        added = sum(_numbers(b, cells).astype(np.int64) for b in rows.column("sums").to_pylist())
+        return pa.table({"slot": rows.column("slot").slice(0, 1), "sums": pa.array([_blob(added)], pa.binary())})
+
+    partial = state.mapInArrow(run, "slot long, sums binary")
+    # the driver adds few and small ones itself, however wide the trees are
+    if parts > FEW or parts * count * nodes * cells * 4 > ADDED:
+        partial = partial.groupBy("slot").applyInArrow(merged, "slot long, sums binary")
+    out = np.zeros((count * nodes, channels, size), np.int64)
+    for slot, sums in partial.collect():
+        out[slot] += _numbers(sums, cells).reshape(channels, size)
+    return np.moveaxis(out.reshape(count, nodes, channels, features, bins), 2, -1)
 
 
 def root_splits(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 32) -> list[tuple[int, str, int, float]]:

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyratory.operators.boosting import FEW, Bins, Trees, _matrix, binned_rows, class_counts, few_parts, fit_bins, grow, judged
+from gyratory.operators.boosting import Bins, Trees, _matrix, binned_rows, class_counts, few_parts, fit_bins, grow, judged
 from gyratory.session import materialise
 
 #: Bytes of the histograms of one pass; trees that do not fit wait for the next pass.
 ROOM = 1 << 26
 UNIT = float(1 << 20)
+#: Cores that get a partition of their own: the histograms of many trees are wide.
+WIDE = 8
 
 
 def balanced_samples(df: DataFrame, label: str, key: str, samples: int, seed: int = 0) -> DataFrame:
@@ -99,7 +101,7 @@ def _state(df: DataFrame, features: Sequence[str], label: str, key: str, classes
             weight = pa.array([np.ones(1).tobytes()] * batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([y, *packed, weight], names=["y", "x", "member", "w"])
 
-    return materialise(few_parts(rows.drop("_key", "_drawn").mapInArrow(run, "y int, x binary, member binary, w binary"), total))
+    return materialise(few_parts(rows.drop("_key", "_drawn").mapInArrow(run, "y int, x binary, member binary, w binary"), total, WIDE))
 
 
 def _member(batch: pa.RecordBatch, count: int) -> np.ndarray:
@@ -116,13 +118,13 @@ def _gini(sums: np.ndarray) -> np.ndarray:
     return np.divide((sums * sums).sum(axis=-1), n, out=np.zeros_like(n), where=n > 0)
 
 
-def _grown(state: DataFrame, targets, count: int, classes: int, features: int, bins: int, depth: int, least: float, unit: float, merge: bool) -> tuple[Trees, np.ndarray]:
+def _grown(state: DataFrame, targets, count: int, classes: int, features: int, bins: int, depth: int, least: float, unit: float, parts: int) -> tuple[Trees, np.ndarray]:
     """(trees, class shares of their nodes)."""
     trees = Trees.empty(count, depth)
     leaves = np.zeros((*trees.value.shape, classes))
     # the leaf's sums themselves, a class each, are kept beside the trees
     trees.value = leaves
-    grow(state, ["y", "member", "w"], targets, trees, classes, features, bins, depth, _gini, lambda sums: sums.sum(axis=-1) >= least, lambda sums: sums / max(sums.sum(), 1e-300), unit, merge)
+    grow(state, ["y", "member", "w"], targets, trees, classes, features, bins, depth, _gini, lambda sums: sums.sum(axis=-1) >= least, lambda sums: sums / max(sums.sum(), 1e-300), unit, parts)
     return trees, leaves
 
 
@@ -137,7 +139,7 @@ def fit_balanced_bag(df: DataFrame, features: Sequence[str], label: str = "label
     if not classes:
         return Ensemble(binned, classes, depth)
     state = _state(df, features, label, key, classes, binned, balanced_samples(df, label, key, samples, seed), samples, sum(counts.values()))
-    model, merge = Ensemble(binned, classes, depth), state.rdd.getNumPartitions() > FEW
+    model, parts = Ensemble(binned, classes, depth), state.rdd.getNumPartitions()
     step = max(1, ROOM // ((1 << depth - 1) * len(features) * bins * len(classes) * 8))
     for first in range(0, samples, step):
         count = min(step, samples - first)
@@ -146,7 +148,7 @@ def fit_balanced_bag(df: DataFrame, features: Sequence[str], label: str = "label
             own = batch.column("y").to_numpy()[:, None] == np.arange(len(classes))
             return (_member(batch, samples)[:, first : first + count].T[:, :, None] & own[None]).astype(float)
 
-        trees, leaves = _grown(state, targets, count, len(classes), len(features), bins, depth, least, 1.0, merge)
+        trees, leaves = _grown(state, targets, count, len(classes), len(features), bins, depth, least, 1.0, parts)
         model.trees.append(trees)
         model.leaves.append(leaves)
         model.weights += [1.0] * count
@@ -165,7 +167,7 @@ def fit_balanced_boost(df: DataFrame, features: Sequence[str], label: str = "lab
     if not classes:
         return Ensemble(binned, classes, depth)
     state = _state(df, features, label, key, classes, binned, balanced_samples(df, label, key, rounds, seed), rounds, sum(counts.values()))
-    model, merge = Ensemble(binned, classes, depth), state.rdd.getNumPartitions() > FEW
+    model, parts = Ensemble(binned, classes, depth), state.rdd.getNumPartitions()
     for number in range(rounds):
 
         def targets(batch: pa.RecordBatch, x: np.ndarray, number: int = number) -> np.ndarray:
@@ -173,7 +175,7 @@ def fit_balanced_boost(df: DataFrame, features: Sequence[str], label: str = "lab
             weight = np.floor(_weight(batch) * UNIT + 0.5)
             return (_member(batch, rounds)[:, number] * weight)[None, :, None] * own[None]
 
-        trees, leaves = _grown(state, targets, 1, len(classes), len(features), bins, depth, least / 4, UNIT, merge)
+        trees, leaves = _grown(state, targets, 1, len(classes), len(features), bins, depth, least / 4, UNIT, parts)
 
         def judged(batches: Iterator[pa.RecordBatch], trees: Trees = trees, leaves: np.ndarray = leaves) -> Iterator[pa.RecordBatch]:
             for batch in batches:

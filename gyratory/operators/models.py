@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gyratory.functions.ordered import checked_broadcast
@@ -82,10 +84,21 @@ def score(model: PipelineModel | Booster | Ensemble, df: DataFrame) -> DataFrame
 
 
 def compare_models(train: DataFrame, valid: DataFrame, trainers: dict[str, Callable[[DataFrame], PipelineModel | Booster | Ensemble]]) -> DataFrame:
-    """Fit each, score on the validation rows, rank. One row per model reaches the driver; a model that fails ends the comparison."""
-    rows = [(name, CATEGORIES.get(name, "Other"), *[float(v) for v in score(fit(train), valid).first()]) for name, fit in trainers.items()]
+    """Fit each, score on the validation rows, rank. One row per model reaches the driver; a model that fails ends the comparison.
+
+    The models are fitted at the same time: boosters and perceptrons are many short passes that leave cores idle. Fits that run when one fails are waited for.
+    """
+    spark = train.sparkSession
+
+    def one(fit: Callable[[DataFrame], PipelineModel | Booster | Ensemble]) -> Row:
+        return score(fit(train), valid).first()
+
+    with ThreadPoolExecutor(max(1, len(trainers))) as pool:
+        # each thread gets a copy of the local properties of its own
+        fitted = [pool.submit(inheritable_thread_target(spark)(one), fit) for fit in trainers.values()]
+    rows = [(name, CATEGORIES.get(name, "Other"), *[float(v) for v in scores.result()]) for name, scores in zip(trainers, fitted, strict=True)]
     schema = "model string, category string, macro_f1 double, weighted_f1 double, accuracy double, balanced_accuracy double, score double"
-    return train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("score"), "model")
+    return spark.createDataFrame(rows, schema).orderBy(F.desc("score"), "model")
 
 
 def category_stats(results: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Booster, balanced draws and ensembles against plain numpy."""
 
 import hashlib
+import threading
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,3 +150,64 @@ def test_all_models_give_probabilities(spark):
     ranked = M.compare_models(known, known, models)
     assert ranked.count() == 3 and "seconds" not in ranked.columns and M.category_stats(ranked).count() == 3
     assert M.feature_importance(models["random_forest"](known), NAMES, top=2).count() == 2
+
+
+def test_compared_models_are_fitted_at_the_same_time(spark):
+    df, _, _ = table(spark)
+    known = df.filter("label is not null").fillna(0.0, NAMES)
+    both = threading.Barrier(2)
+
+    def fit(rows):
+        # one after the other, the first would wait in vain
+        both.wait(timeout=60)
+        return M.train_boosted_trees(rows, NAMES, rounds=2, depth=2)
+
+    ranked = [r[2:] for r in M.compare_models(known, known, {"boosted_trees": fit, "other": fit}).collect()]
+    assert ranked[0] == ranked[1] == M.score(M.train_boosted_trees(known, NAMES, rounds=2, depth=2), known).first()
+
+
+def test_binned_rows_use_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(20_000).coalesce(1)
+    assert B.few_parts(one, 20_000).rdd.getNumPartitions() == min(cores, 10, B.FEW)
+    assert B.few_parts(one, 20_000, 1).rdd.getNumPartitions() == 1
+    assert B.few_parts(one, 500).rdd.getNumPartitions() == 1 and B.few_parts(one, 10_000_000).rdd.getNumPartitions() == 500
+
+
+def test_a_pass_sums_one_side_of_each_split(spark, monkeypatch):
+    df, x, y = table(spark)
+    real, sent = B._histograms, []
+
+    def counted(state, targets, trees, level, *rest):
+        found = real(state, targets, trees, level, *rest)
+        sent.append((level, found))
+        return found
+
+    monkeypatch.setattr(B, "_histograms", counted)
+    model = N.fit_balanced_bag(df, NAMES, samples=4, depth=4, bins=8)
+    rows = {level: found.sum(axis=(1, 3, 4))[:, 0] for level, found in sent}
+    assert set(rows) == {0, 1, 2, 3} and all((rows[level] <= rows[0] / 2).all() for level in (1, 2, 3))
+    # all leaves, also those of the sides that were not counted, hold the rows that reach them
+    draws = defaultdict(list)
+    for r in N.balanced_samples(df, "label", "ID", 4).collect():
+        draws[r["sample"]].append(r["ID"])
+    for k, drawn in draws.items():
+        at = model.trees[0].nodes(model.bins.bins(x[drawn].T), k, 4)
+        for node in set(at):
+            assert model.leaves[0][k][node] == pytest.approx(np.bincount(y[drawn][at == node], minlength=3) / (at == node).sum())
+    # wide histograms are merged in the cluster, with the same sums
+    monkeypatch.setattr(B, "ADDED", 0)
+    again = N.fit_balanced_bag(df.repartition(5), NAMES, samples=4, depth=4, bins=8)
+    assert np.array_equal(again.trees[0].bin, model.trees[0].bin) and np.array_equal(again.leaves[0], model.leaves[0])
+
+
+def test_early_leaves_hand_their_value_down():
+    rng = np.random.default_rng(5)
+    trees = B.Trees(rng.integers(-1, 5, (3, 15)).astype(np.int32), rng.integers(0, 31, (3, 15)).astype(np.int32), rng.normal(size=(3, 31)), np.zeros(3))
+    for node in range(1, 15):
+        # nothing grows below a leaf
+        trees.feature[:, node] = np.where(trees.feature[:, (node - 1) // 2] < 0, -1, trees.feature[:, node])
+    x = rng.integers(0, 32, (5, 400)).astype(np.uint8)
+    want = np.stack([trees.value[k][trees.nodes(x, k, 4)] for k in range(3)], axis=1)
+    assert np.array_equal(trees.scores(x, 4), want) and np.array_equal(trees.scores(np.asfortranarray(x), 4), want)
+    assert trees.scores(x[:, :0], 4).shape == (0, 3)
