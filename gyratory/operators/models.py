@@ -83,17 +83,20 @@ def score(model: PipelineModel | Booster | Ensemble, df: DataFrame) -> DataFrame
     return scores.withColumn("score", 0.7 * F.col("macro_f1") + 0.3 * F.col("accuracy"))
 
 
-def compare_models(train: DataFrame, valid: DataFrame, trainers: dict[str, Callable[[DataFrame], PipelineModel | Booster | Ensemble]]) -> DataFrame:
+def compare_models(
+    train: DataFrame, valid: DataFrame, trainers: dict[str, Callable[[DataFrame], PipelineModel | Booster | Ensemble]], at_once: int = 2
+) -> DataFrame:
     """Fit each, score on the validation rows, rank. One row per model reaches the driver; a model that fails ends the comparison.
 
-    The models are fitted at the same time: boosters and perceptrons are many short passes that leave cores idle. Fits that run when one fails are waited for.
+    `at_once` models are fitted at the same time, since boosters and perceptrons are many short passes that leave cores idle; the driver holds
+    the trees and histograms of no more. Fits that run when one fails are waited for.
     """
     spark = train.sparkSession
 
     def one(fit: Callable[[DataFrame], PipelineModel | Booster | Ensemble]) -> Row:
         return score(fit(train), valid).first()
 
-    with ThreadPoolExecutor(max(1, len(trainers))) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         # each thread gets a copy of the local properties of its own
         fitted = [pool.submit(inheritable_thread_target(spark)(one), fit) for fit in trainers.values()]
     rows = [(name, CATEGORIES.get(name, "Other"), *[float(v) for v in scores.result()]) for name, scores in zip(trainers, fitted, strict=True)]
